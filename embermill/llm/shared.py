@@ -115,8 +115,8 @@ class Words:
     def __len__(self) -> int:
         return len(self.starts)
 
-    def hashes(self, lower: bool = False) -> np.ndarray:
-        """A polynomial in the word's bytes (A-Z lower-cased on demand), by prefix sums over the buffer, then mixed."""
+    def spans(self, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
+        """A hash of each byte span: a polynomial in its bytes (A-Z lower-cased on demand), by prefix sums, then mixed."""
         up, down = powers(_BASE, len(self.data) + 1)
         x = (_LOWER[self.data] if lower else self.data).astype(np.uint64)
         x += np.uint64(1)
@@ -124,8 +124,16 @@ class Words:
         sums = np.empty(len(x) + 1, np.uint64)
         sums[0] = 0
         np.cumsum(x, out=sums[1:])
-        h = (sums[self.ends] - sums[self.starts]) * down[self.starts]
-        return mix(h + (self.ends - self.starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        h = (sums[ends] - sums[starts]) * down[starts]
+        return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+    def hashes(self, lower: bool = False) -> np.ndarray:
+        return self.spans(self.starts, self.ends, lower)
+
+    def tally(self, chosen: np.ndarray) -> np.ndarray:
+        """How many bytes of each text a boolean table of 256 byte values chooses."""
+        sums = np.concatenate([[0], np.cumsum(chosen[self.data])])
+        return sums[self.bounds[:-1] + self.sizes] - sums[self.bounds[:-1]]
 
     def windows(self, size: int, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rabin-Karp hashes of all windows of `size` words inside one text, and the number of the word each starts at."""
