@@ -63,12 +63,13 @@ def _paired(name: str, by: int) -> Column:
     return F.transform(h, lambda x, i: F.xxhash64(x, F.get(h, i + by)))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, prints: bool = False) -> DataFrame:
     """doc_id, contaminated, item_ids (the items found, in order) and n_windows (distinct aligned windows) of every row.
 
     A document is contaminated if it shares a consistently filled template window with an item; an item of fewer words
     is one window.  Null and empty texts, on either side, match nothing.  Rows of one doc_id are told apart by their text;
-    repeated rows and items are judged alike, a null item_id is listed as null.  Other columns are ignored.
+    repeated rows and items are judged alike, a null item_id is listed as null.  Other columns are ignored.  With `prints`
+    the hash of id and text that tells rows apart is a column too.
     """
     rows = texts(docs).withColumn("print", F.xxhash64("doc_id", "text"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), raw_words(F.coalesce("text", F.lit(""))).alias("item")).where(F.size("item") > 0)
@@ -102,4 +103,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> Dat
     found = consistent.groupBy("doc_id", "print").agg(F.array_sort(F.collect_set(F.struct("item_id"))).alias("items"), F.sum(F.size("found")).alias("n_windows"))
     found = found.select(F.col("doc_id").alias("found_id"), F.col("print").alias("found_print"), F.transform("items", lambda s: s["item_id"]).alias("items"), "n_windows")
     out = rows.select("doc_id", "print").join(found, (F.col("print") == F.col("found_print")) & F.col("doc_id").eqNullSafe(F.col("found_id")), "left")
-    return out.select("doc_id", F.col("items").isNotNull().alias("contaminated"), F.coalesce("items", F.array().cast("array<long>")).alias("item_ids"), F.coalesce("n_windows", F.lit(0)).cast("long").alias("n_windows"))
+    return out.select("doc_id", *(["print"] if prints else []), F.col("items").isNotNull().alias("contaminated"), F.coalesce("items", F.array().cast("array<long>")).alias("item_ids"), F.coalesce("n_windows", F.lit(0)).cast("long").alias("n_windows"))
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> DataFrame:
+    """The rows of docs, all columns, that share no consistent template window with the benchmark."""
+    found = contaminated(docs, benchmark, size, prints=True).where("contaminated").select(F.col("print").alias("_found")).distinct()
+    own = F.xxhash64(docs["doc_id"].cast("long"), F.coalesce(docs["text"], F.lit("")))
+    return docs.withColumn("_print", own).join(found, F.col("_print") == F.col("_found"), "left_anti").drop("_print")

@@ -2,7 +2,7 @@
 
 Each distinct shingle set has BUCKETS registers.  A register holds, in 16 bits, the leading zeros and ten mantissa bits of
 the smallest hash that fell into its bucket; an empty bucket borrows another's.  BANDS bands of ROWS registers bring sets
-together: at a similarity of 0.85 a pair shares no band with probability (1 - 0.85**6)**42, about 2e-9.  Register agreement,
+together: at a similarity of 0.85 a pair shares no band with probability (1 - 0.85**5)**51, about 1e-13, at 0.8 2e-9.  Register agreement,
 corrected for chance collisions, estimates the similarity; pairs six standard errors below the threshold go, all others are
 confirmed on the full sets.
 
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .shared import Words, chunked, id_array, landed, mix, planes, texts, unplanes
 
-BUCKETS, ROWS, BANDS, MANTISSA = 256, 6, 42, 10
+BUCKETS, ROWS, BANDS, MANTISSA = 256, 5, 51, 10
 _BITS, _MIN = 52, 44  # bits of a shingle hash that are kept; those below the bucket number
 _DOCS = 1 << (64 - _BITS)  # texts in a chunk at most
 #: Empty buckets borrow from these in turn, the first that is not empty.
@@ -211,3 +211,13 @@ def near_duplicates(docs: DataFrame, size: int = 3, threshold: int = 85) -> Data
     out = rows.select("doc_id", "n", "node").join(name, "node", "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, size: int = 5, threshold: int = 80) -> DataFrame:
+    """The rows of docs, all columns, that near_duplicates keeps; of rows that repeat a doc_id and text one stays.
+
+    Rows with a null doc_id stay unless all of them are near duplicates of documents with an id.
+    """
+    kept = near_duplicates(docs, size, threshold).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    rows = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("kept_id")), "left_semi").withColumn("_print", F.xxhash64(F.col("text")))
+    return rows.dropDuplicates(["doc_id", "_print"]).drop("_print")

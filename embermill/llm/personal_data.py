@@ -106,7 +106,7 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             spans.append([{"kind": k, "start": s, "end": e} for k, s, e in base])
             digests.append(hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in base).encode()).hexdigest())
             cases.append(contexts(t, base))
-        yield pa.record_batch([b.column("doc_id"), pa.array(spans, span), pa.array(digests, pa.string()), pa.array(cases, case)], ["doc_id", "base", "base_sha256", "cases"])
+        yield pa.record_batch([b.column("doc_id"), pa.array(spans, span), pa.array(digests, pa.string()), pa.array(cases, case), b.column("print")], ["doc_id", "base", "base_sha256", "cases", "print"])
 
 
 def trusted_patterns(cases: DataFrame) -> DataFrame:
@@ -130,27 +130,46 @@ def trusted_patterns(cases: DataFrame) -> DataFrame:
     raise AssertionError
 
 
-def personal_data(docs: DataFrame) -> DataFrame:
+def personal_data(docs: DataFrame, prints: bool = False) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (base and discovered, kind:start:end in code
     points, joined by commas) and found (the same as an array) of every row.
 
     Null and empty texts have no spans.  Repeated rows come out alike, each with its own row; null ids are kept; other
-    columns are ignored.  A discovered span never overlaps a base span.
+    columns are ignored.  A discovered span never overlaps a base span.  With `prints` a hash of the text is a column too.
     """
     schema = f"doc_id long, base {_SPAN}, base_sha256 string, cases {_CASE}"
-    rows = landed(texts(docs).mapInArrow(_found, schema).withColumn("row", F.monotonically_increasing_id()), "spans")
+    own = texts(docs).withColumn("print", F.xxhash64("text"))
+    rows = landed(own.mapInArrow(_found, f"{schema}, print long").withColumn("row", F.monotonically_increasing_id()), "spans")
     cases = rows.select("row", F.explode("cases").alias("c")).select("row", "c.*")
     patterns = trusted_patterns(cases.select("pattern", "instance", "kind", "could"))
     strangers = cases.where("kind is null and could <> ''").drop("kind")
     added = strangers.join(patterns, "pattern").where(F.array_contains(F.split("could", ","), F.col("kind")))
     added = added.groupBy("row").agg(F.collect_set(F.struct("kind", "start", "end")).alias("more"))
-    both = rows.select("row", "doc_id", "base", "base_sha256").join(landed(added, "added"), "row", "left")
+    both = rows.select("row", "doc_id", "base", "base_sha256", "print").join(landed(added, "added"), "row", "left")
     order = F.create_map(*(x for n, k in enumerate(KINDS) for x in (F.lit(k), F.lit(n))))
     found = F.transform(F.array_sort(F.transform(F.concat("base", F.coalesce("more", F.array().cast(_SPAN))), lambda s: F.struct(F.element_at(order, s["kind"]).alias("n"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))), lambda s: F.struct(s["kind"], s["start"], s["end"]))
     counts = [_count(kind) for kind in KINDS]
     joined = F.array_join(F.transform("found", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
-    return both.withColumn("found", found).select("doc_id", *counts, "base_sha256", joined.alias("spans"), "found")
+    return both.withColumn("found", found).select("doc_id", *counts, "base_sha256", joined.alias("spans"), "found", *(["print"] if prints else []))
 
 
 def _count(kind: str):
     return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
+def redacted(docs: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, with each span replaced by its kind in angle brackets (overlapping spans by the first
+    one's); n_chars, where there is one, follows.  Texts without spans, null ones among them, stay as they are."""
+    spans = personal_data(docs, prints=True).where(F.size("found") > 0).select(F.col("print").alias("_of"), F.array_sort(F.transform("found", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))).alias("_found")).dropDuplicates(["_of"])
+    both = docs.withColumn("_print", F.xxhash64(F.coalesce("text", F.lit("")))).join(landed(spans, "found"), F.col("_print") == F.col("_of"), "left")
+
+    def piece(text, s):
+        start = F.greatest(s["start"], text["at"])
+        fresh = s["start"] >= text["at"]
+        return F.struct(F.concat(text["out"], F.when(fresh, F.concat(F.substring(F.col("text"), text["at"] + 1, s["start"] - text["at"]), F.lit("<"), s["kind"], F.lit(">"))).otherwise("")).alias("out"), F.greatest(start, s["end"]).alias("at"))
+
+    cut = F.aggregate("_found", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), piece, lambda t: F.concat(t["out"], F.substring(F.col("text"), t["at"] + 1, F.length("text"))))
+    text = F.when(F.col("_found").isNull(), F.col("text")).otherwise(cut)
+    out = both.withColumn("_text", text)
+    kinds = dict(docs.dtypes)
+    return out.select(*(F.col("_text").alias("text") if c == "text" else F.when(F.col("_found").isNull(), F.col("n_chars")).otherwise(F.length("_text").cast(kinds[c])).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
