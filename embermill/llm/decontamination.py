@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import texts
+from .shared import landed, texts
 
 #: Words in a window, and how many of them must not be placeholders.
 SIZE, LITERAL = 13, 6
@@ -84,6 +84,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, prints
     there = _windows(rows.select("doc_id", "print", F.transform(raw_words(F.col("text")), template_word).alias("words")), [size, *short], "doc_id", "print")
     met = there.join(F.broadcast(wanted) if small else wanted, ["hash", "size"])
     aligned = met.groupBy("doc_id", "print", "item_id", (F.col("at") - F.col("item_at")).alias("offset")).agg(F.collect_set(F.struct(F.col("item_at"), F.col("size"))).alias("found"))
+    aligned = landed(aligned, "aligned")  # read twice below; the windows of all texts are made once
 
     # slots of each aligned stretch: positions of the item that lie in a window found
     texts_met = rows.join(aligned.select("print").distinct(), "print", "left_semi").select(F.col("print").alias("own_print"), F.col("doc_id").alias("own_id"), raw_words(F.col("text")).alias("doc")).dropDuplicates(["own_print", "own_id"])
