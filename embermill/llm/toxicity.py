@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import texts
+from .shared import landed, texts
 
 #: Labelled rows that are learned from, at most.
 SAMPLE = 20_000
@@ -104,18 +104,19 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model |
     own = F.col("doc_id").cast("long")
     chosen = labels.where("toxic in (0, 1) and doc_id is not null").groupBy(own.alias("doc_id")).agg(F.max("toxic").alias("toxic")).where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = texts(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")  # at most `sample` pairs of numbers
+    rows = landed(texts(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic"), "labelled")  # at most `sample` pairs of numbers
     size = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(size) < 2:
         return None
-    words = F.split(F.lower("text"), r"[\x20\x09-\x0D]+")
-    pairs = rows.select("doc_id", "toxic", words.alias("w")).select("doc_id", "toxic", F.explode(F.array_distinct(F.zip_with(F.concat(F.array(F.lit("")), "w"), "w", lambda p, w: F.struct(p.alias("before"), w.alias("word"))))).alias("p"))
-    pairs = pairs.select("doc_id", "toxic", "p.before", "p.word").where("word is not null and word <> ''")
-    held = pairs.groupBy("word", "doc_id", "toxic").agg(F.lit(1).alias("one")).groupBy("word").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
+    split = rows.select("doc_id", "toxic", F.split(F.lower("text"), r"[\x20\x09-\x0D]+").alias("w"))
+    each = split.select("doc_id", "toxic", F.explode(F.array_distinct("w")).alias("word")).where("word <> ''")
+    held = landed(each.distinct().groupBy("word").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")), "held")
+    # not array_distinct: that compares every struct with every other; the aggregates below count distinct ones
+    pairs = split.where("toxic = 1").select(F.explode(F.zip_with(F.concat(F.array(F.lit("")), "w"), "w", lambda p, w: F.struct(p.alias("before"), w.alias("word")))).alias("p")).select("p.before", "p.word")
     common = [r["word"] for r in held.where("good > 0").orderBy(F.desc("good"), "word").limit(COMMON_WORDS).collect()]
     least = SHARE * size[1]
     apart = held.where((F.col("bad") >= least) & (F.length("word") >= 3) & (F.col("bad") / size[1] >= RATIO * (F.col("good") + 1) / size[0]))
-    varied = pairs.where("toxic = 1").join(apart, "word").groupBy("word", "bad").agg(F.countDistinct("before").alias("places")).where(F.col("places") >= least)
+    varied = pairs.join(apart, "word").groupBy("word", "bad").agg(F.countDistinct("before").alias("places")).where(F.col("places") >= least)
     # more than a share of toxic documents must have each word, so that few qualify; what is collected is bounded
     toxic = [r["word"] for r in varied.orderBy(F.desc("bad"), "word").limit(COMMON_WORDS).collect()]
     model = Model(" ".join(reversed(common)).encode()[-COMMON_BYTES:] + b" ", b" " + " ".join(reversed(toxic)).encode()[-TOXIC_BYTES:])
