@@ -116,7 +116,8 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model |
     common = [r["word"] for r in held.where("good > 0").orderBy(F.desc("good"), "word").limit(COMMON_WORDS).collect()]
     least = SHARE * size[1]
     apart = held.where((F.col("bad") >= least) & (F.length("word") >= 3) & (F.col("bad") / size[1] >= RATIO * (F.col("good") + 1) / size[0]))
-    varied = pairs.join(apart, "word").groupBy("word", "bad").agg(F.countDistinct("before").alias("places")).where(F.col("places") >= least)
+    # counted before the join, so that a frequent word is a row of each partition and not all its places in one
+    varied = pairs.distinct().groupBy("word").agg(F.count("*").alias("places")).where(F.col("places") >= least).join(apart, "word")
     # more than a share of toxic documents must have each word, so that few qualify; what is collected is bounded
     toxic = [r["word"] for r in varied.orderBy(F.desc("bad"), "word").limit(COMMON_WORDS).collect()]
     model = Model(" ".join(reversed(common)).encode()[-COMMON_BYTES:] + b" ", b" " + " ".join(reversed(toxic)).encode()[-TOXIC_BYTES:])
@@ -126,7 +127,7 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model |
             x = [features(t, model.common, model.toxic) for t in b.column("text").to_pylist()]
             yield pa.record_batch([b.column("doc_id"), b.column("toxic").cast(pa.float64()), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "y", "x"])
 
-    found = rows.mapInArrow(measure, "doc_id long, y double, x array<double>").orderBy("doc_id").toPandas()
+    found = rows.mapInArrow(measure, "doc_id long, y double, x array<double>").toPandas().sort_values("doc_id", kind="stable")
     return model.fit(np.stack(found["x"].to_numpy()), found["y"].to_numpy())
 
 
