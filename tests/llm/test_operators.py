@@ -108,6 +108,18 @@ def test_decontamination_finds_reparameterised_items(spark):
     assert decontamination.contaminated(d, b.limit(0)).where("contaminated").count() == 0
 
 
+def test_decontamination_ignores_letter_case(spark):
+    item = "The old keeper of the lighthouse wrote 3 letters to Anna and hid them in the straße under a weiß painted stone"
+    changed = [item.upper(), item.lower(), item.title(), f"so it is that {item[0].lower()}{item[1:60]}", item.replace("lighthouse", "windmill").replace("them", "both").upper()]
+    d = spark.createDataFrame(list(enumerate(changed)), "doc_id long, text string")
+    b = spark.createDataFrame([(9, item), (10, "İstanbul ΟΔΟΣ")], "item_id long, text string")
+    got = {r.doc_id: (r.contaminated, list(r.item_ids)) for r in decontamination.contaminated(d, b).collect()}
+    assert got == {0: (True, [9]), 1: (True, [9]), 2: (True, [9]), 3: (False, []), 4: (False, [])}
+    assert [r.doc_id for r in decontamination.without_contaminated(d, b).orderBy("doc_id").collect()] == [3, 4]
+    # the same windows by hand: equal words of all 13-word windows that the template does not join
+    assert decontamination.contaminated(d, b).where("doc_id = 0").first().n_windows == len(item.split()) - 12
+
+
 def test_personal_data_discovers_by_context(spark):
     seeds = [(i, f"text {i} call tel: +49 30 {1000000 + 7919 * i} or mail a{i}@b.example.com", "x") for i in range(20)]
     d = spark.createDataFrame([*seeds, (50, "please tel: 555-123-4567 now", "x"), (51, "code 555-123-4567 is no number", "x"), (52, None, None), (53, "", "")], "doc_id long, text string, spans string")
