@@ -1,11 +1,12 @@
 """Benchmark decontamination by template canonicalisation.  DataFrame functions only.
 
-Words lose everything but letters and digits; numbers, names and units become typed placeholders and the rest is
-stripped of letter case.  Windows of SIZE such words that keep LITERAL words or more as they are get a hash; documents and
-benchmark items meet on it.  They also meet on the same windows of plain words without letter case, since the type of a word
-hangs on its case: a copy in capitals has no names.  Windows of one document and item at the same offset are one aligned stretch.  Its slots have to be
-consistent: equal values in the item stand against equal values in the document, and different against different.  A
-re-parameterised question passes, a text that only shares the sentence pattern by chance with clashing values does not.
+Words lose everything but letters and digits; numbers, names and units become typed placeholders and the rest is stripped of
+letter case.  Windows of SIZE such words that keep LITERAL words or more as they are get a hash; documents and benchmark
+items meet on it.  They also meet on all windows of plain words without letter case, those of fewer literal words too: the
+type of a word hangs on its case, and a copy of numbers and names is a copy.  Windows of one document and item at the same
+offset are one aligned stretch.  The slots of its template windows have to be consistent: equal values in the item stand
+against equal values in the document, and different against different.  A re-parameterised question passes, a text that
+only shares the sentence pattern by chance with clashing values does not.
 
 Only hashes and positions of documents' windows are exploded, after which those without a partner are gone; texts are read
 again for the documents that met an item.
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .shared import landed, texts
 
-#: Words in a window, and how many of them must not be placeholders.
+#: Words in a window, and how many of them must not be placeholders for the window to be joined by its template.
 SIZE, LITERAL = 13, 6
 #: Benchmark windows up to this number (16 bytes each) are broadcast; more are joined by shuffle.
 BROADCAST_WINDOWS = 200_000
@@ -97,7 +98,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, prints
         wanted = wanted.unionByName(_windows(items.where(F.size("raw") == n), [n], *keys))
     held = [F.slice(c, F.col("at") + 1, F.col("size")) for c in ("raw", "folded")]
     literal = F.size(F.filter(F.zip_with(*held, template_word), lambda w: ~w.startswith("#")))
-    wanted = wanted.where(literal >= F.least(F.lit(LITERAL), F.col("size"))).select("item_id", "size", "verbatim", F.col("at").alias("item_at"), "hash").distinct()
+    wanted = wanted.where(F.col("verbatim") | (literal >= F.least(F.lit(LITERAL), F.col("size")))).select("item_id", "size", "verbatim", F.col("at").alias("item_at"), "hash").distinct()
     small = wanted.count() <= BROADCAST_WINDOWS
     there = _windows(with_words(rows, F.col("text")), [size, *short], "doc_id", "print")
     met = there.join(F.broadcast(wanted) if small else wanted, ["hash", "size", "verbatim"])

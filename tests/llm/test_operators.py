@@ -120,6 +120,14 @@ def test_decontamination_ignores_letter_case(spark):
     assert decontamination.contaminated(d, b).where("doc_id = 0").first().n_windows == len(item.split()) - 12
 
 
+def test_decontamination_finds_verbatim_windows_of_few_literals(spark):
+    short, dense = "Paris has 12 towers", "Anna 12 Bert 13 Carl 14 kg Dora 15 km Emil 16 saw Fritz 17"
+    d = spark.createDataFrame([(1, f"we hear that {short} in all"), (2, f"so {dense} there"), (3, short.replace("12", "13")), (4, dense.replace("Dora", "Doris")), (5, dense.upper())], "doc_id long, text string")
+    b = spark.createDataFrame([(7, short), (8, dense)], "item_id long, text string")
+    got = {r.doc_id: (list(r.item_ids), r.n_windows) for r in decontamination.contaminated(d, b).collect()}
+    assert got == {1: ([7], 1), 2: ([8], 3), 3: ([], 0), 4: ([], 0), 5: ([8], 3)}
+
+
 def test_personal_data_discovers_by_context(spark):
     seeds = [(i, f"text {i} call tel: +49 30 {1000000 + 7919 * i} or mail a{i}@b.example.com", "x") for i in range(20)]
     d = spark.createDataFrame([*seeds, (50, "please tel: 555-123-4567 now", "x"), (51, "code 555-123-4567 is no number", "x"), (52, None, None), (53, "", "")], "doc_id long, text string, spans string")
