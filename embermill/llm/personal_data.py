@@ -26,6 +26,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _NUMBERED = re.compile(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+(?:\x20[0-9().-]*[0-9][0-9().-]*(?![^\x20\x09-\x0D]))*")
+_AT, _SPACES = re.compile(r"@|\(at\)|\[at\]", re.I), re.compile(r"[\x20\x09-\x0D]")
 _AROUND = " \t\n\r\v\f.,;:!?\"'`*#$%&|<>(){}[]=~_/\\-"
 #: Rounds of scoring, confidence that a pattern or instance needs, and distinct known instances that a pattern needs.
 ROUNDS, TRUST, SUPPORT = 3, 0.9, 5
@@ -68,6 +69,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 def _could_be(token: str) -> str:
     """The kinds, comma-joined, that a token not covered by a base pattern could be an unusual writing of."""
+    token = token.lower()
     digits, letters = sum(c.isdigit() for c in token), sum(c.isalpha() for c in token)
     fits = [("email", letters >= 3 and ("@" in token or "(at)" in token or "[at]" in token)), ("ip", not letters and token.count(".") == 3 and digits >= 4), ("card", not letters and 13 <= digits <= 19), ("phone", not letters and 7 <= digits <= 15)]
     return ",".join(k for k, ok in fits if ok)
@@ -79,20 +81,37 @@ def _before(text: str, start: int) -> str:
     return re.sub("[0-9]+", "0", word).strip(_AROUND.replace(":", "").replace("=", "").replace("#", "")) or "^"
 
 
+def _strangers(text: str) -> list[tuple[int, int]]:
+    """Spans of words with digits, and of words without any that hold an @, (at) or [at], in order."""
+    out, done = [m.span() for m in _NUMBERED.finditer(text)], 0
+    for m in _AT.finditer(text):
+        if m.start() >= done:
+            start = max(done, *(text.rfind(c, done, m.start()) + 1 for c in " \t\n\v\f\r"))
+            after = _SPACES.search(text, m.end())
+            done = after.start() if after else len(text)
+            if not any("0" <= c <= "9" for c in text[start:done]):
+                out.append((start, done))
+    return sorted(out)
+
+
 def contexts(text: str, base: list[tuple[str, int, int]]) -> list[dict]:
-    """Known entities and strangers (words with digits outside them), each with the pattern before it."""
+    """Known entities and strangers outside them, each with the pattern before it.  Numbers of fewer than six characters,
+    which could be of no kind, are not looked at."""
     out = [{"pattern": _before(text, s), "instance": text[s:e].lower(), "kind": k, "could": k, "start": s, "end": e} for k, s, e in base]
     taken = sorted((s, e) for _, s, e in base)
     i = 0
-    for m in _NUMBERED.finditer(text):
-        token = m[0]
-        start = m.start() + len(token) - len(token.lstrip(_AROUND))
-        end = m.end() - len(token) + len(token.rstrip(_AROUND))
+    for start, end in _strangers(text):
+        token = text[start:end]
+        start, end = start + len(token) - len(token.lstrip(_AROUND)), end - len(token) + len(token.rstrip(_AROUND))
         while i < len(taken) and taken[i][1] <= start:
             i += 1
-        if end - start < 6 or end - start > 64 or (i < len(taken) and taken[i][0] < end):
+        could = _could_be(text[start:end])
+        if (end - start < 6 and not could) or (i < len(taken) and taken[i][0] < end):
             continue
-        out.append({"pattern": _before(text, start), "instance": text[start:end].lower(), "kind": None, "could": _could_be(text[start:end]), "start": start, "end": end})
+        instance = text[start:end].lower()
+        if len(instance) > 64:  # told apart by a digest, so that no long text travels
+            instance = hashlib.sha256(instance.encode()).hexdigest()
+        out.append({"pattern": _before(text, start), "instance": instance, "kind": None, "could": could, "start": start, "end": end})
     return out
 
 

@@ -139,6 +139,16 @@ def test_personal_data_discovers_by_context(spark):
     assert red[50] == "please tel: <phone> now" and red[52] is None and red[51] == "code 555-123-4567 is no number"
 
 
+def test_personal_data_discovers_addresses_without_digits(spark):
+    unseen = ["jane.doe(at)example.com", "jane[AT]host", "jane@localhost", "a@bc", f"{'long.' * 20}name(at)example.com"]
+    seeds = [(i, f"text {i} mail: {'abcdefghijklmnopqrst'[i]}@b.example.com") for i in range(20)]
+    d = spark.createDataFrame([*seeds, *((50 + i, f"so mail: {u}, soon") for i, u in enumerate(unseen)), (60, "meet jane(at)home there")], "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in personal_data.personal_data(d).collect()}
+    assert [got[50 + i] for i in range(len(unseen))] == [f"email:9:{9 + len(u)}" for u in unseen] and got[60] == ""
+    assert {r.text for r in personal_data.redacted(d).where("doc_id between 50 and 59").collect()} == {"so mail: <email>, soon"}
+    personal_data.contexts("a" * 300_000 + "@" * 300_000 + " (at)" * 1000, [])
+
+
 def test_base_spans_are_linear_and_exact():
     t = "x@y.com 1.2.3.4 1.2.3.999 4111 1111 1111 1111 4111111111111112 +1 (555) 123-4567"
     assert [t[s:e] for _, s, e in personal_data.base_spans(t)] == ["x@y.com", "1.2.3.4", "+1 (555) 123-4567"]
