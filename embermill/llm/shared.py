@@ -13,7 +13,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that are hashed at a time; a longer document makes a longer chunk.
@@ -46,6 +46,8 @@ def shared_dir(spark: SparkSession) -> str:
         own = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = own.get() if own.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="embermill-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -63,11 +65,48 @@ def landed(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Deletes landed tables that nothing reads any more."""
+    for t in tables:
+        spark = t.sparkSession
+        for path in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def salted(rows: DataFrame, keys: DataFrame, key: str, *by: str, how: str = "inner", salts: int = 16) -> DataFrame:
+    """rows joined with the one row of keys that has their key.  A key that many rows have is spread over `salts` tasks by the
+    columns `by`."""
+    salt = fresh(rows, "salt")
+    many = keys.withColumn(salt, F.explode(F.array(*map(F.lit, range(salts)))))
+    return rows.withColumn(salt, F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int")).join(many, [key, salt], how).drop(salt)
+
+
+def fresh(docs: DataFrame, name: str) -> str:
+    """A column name that docs does not have."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def text_bytes(docs: DataFrame) -> int:
     """Bytes of all texts, from which operators derive how many groups to deal documents into."""
     return docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
 
 
+def deal(groups: int) -> Column:
+    """The group of a document, by id and text: rows without an id are spread as well."""
+    return F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups))
+
+
+def ranges(h: np.ndarray, parts: int) -> Iterator[tuple[int, int, int]]:
+    """Number, begin and end of each of `parts` equal hash ranges that ordered hashes fall into; empty ranges cost nothing."""
+    part = ((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+    first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(h) else np.empty(0, np.int64)
+    yield from zip(part[first].tolist(), first.tolist(), [*first[1:].tolist(), len(h)], strict=True)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser: every input bit reaches every output bit."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
