@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import landed, texts
+from .shared import fresh, landed, texts
 
 #: Words in a window, and how many of them must not be placeholders for the window to be joined by its template.
 SIZE, LITERAL = 13, 6
@@ -146,7 +146,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, prints
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> DataFrame:
-    """The rows of docs, all columns, that share no consistent template window with the benchmark."""
-    found = contaminated(docs, benchmark, size, prints=True).where("contaminated").select(F.col("print").alias("_found")).distinct()
+    """The rows of docs, all columns, that `contaminated` does not find.
+
+    Null and empty texts stay, repeated rows go or stay together, a null id is a value like others.  Columns of any name come
+    through.
+    """
+    name = fresh(docs, "print")
+    found = contaminated(docs, benchmark, size, prints=True).where("contaminated").select(F.col("print").alias(name)).distinct()
     own = F.xxhash64(docs["doc_id"].cast("long"), F.coalesce(docs["text"], F.lit("")))
-    return docs.withColumn("_print", own).join(found, F.col("_print") == F.col("_found"), "left_anti").drop("_print")
+    return docs.withColumn(name, own).join(found, name, "left_anti").drop(name)
