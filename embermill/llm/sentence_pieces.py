@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from .shared import texts
 
 MARK = "▁"
+_UNKNOWN = "\N{REPLACEMENT CHARACTER}".encode()
 #: Segments and pairs of pieces that a worker remembers; fewer equal-length segments than FEW, or longer ones than LONG
 #: characters, are searched one by one.
 REMEMBERED, PAIRS, FEW, LONG = 1 << 18, 1 << 20, 8, 64
@@ -193,8 +194,9 @@ class Pieces:
                     del known[s]
         return out
 
-    def decode(self, ids: list[int]) -> str:
-        text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace").replace(MARK, " ")
+    def decode(self, ids: list[int | None]) -> str:
+        raw = self.raw
+        text = b"".join(raw[i] if i is not None and 0 <= i < len(raw) else _UNKNOWN for i in ids).decode("utf-8", "replace").replace(MARK, " ")
         return text[1:] if text[:1] == " " else text
 
 
@@ -244,7 +246,8 @@ def encode_pieces(docs: DataFrame, model: str) -> DataFrame:
 
 def decode_pieces(rows: DataFrame, model: str) -> DataFrame:
     """doc_id and the text that `ids` stand for: pieces end to end, byte pieces as bytes (malformed ones as U+FFFD), space
-    marks as spaces, one leading space dropped.  Null or empty ids give an empty text."""
+    marks as spaces, one leading space dropped.  An identifier that is null or that the model does not have is U+FFFD.  Null
+    or empty ids give an empty text.  Repeated rows and null doc_ids come out as they came in; other columns are ignored."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pieces(model)
