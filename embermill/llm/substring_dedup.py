@@ -18,10 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import NO_ID, Words, chunked, planes, text_bytes, texts, unplanes
+from .shared import NO_ID, Words, chunked, deal, planes, ranges, text_bytes, texts, unplanes
 
-#: Bytes of text in a group of documents, and windows in a hash range, on average.
-GROUP_BYTES, RANGE_WINDOWS = 4 << 20, 2_000_000
+#: Bytes of text in a group of documents, and windows in a hash range, on average, for inputs up to ROOT bytes; beyond, both
+#: grow with the root of the input, so that the number of packets grows in proportion to it.
+GROUP_BYTES, RANGE_WINDOWS, ROOT = 4 << 20, 2_000_000, 100 << 30
 _BLOB = "part int, group long, hashes binary, docs binary"
 _TOLD = "group long, hashes binary"
 _OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string, spans array<struct<start: int, end: int>>"
@@ -45,9 +46,7 @@ def _pack(size: int, parts: int):
         group = t.column("group")[0].as_py()
         found = [_smallest(*_windows(ids, words, size)[:2]) for ids, words in chunked(t.column("doc_id"), t.column("text"))]
         h, ids = _smallest(*(np.concatenate(x) for x in zip(*found, strict=True)))
-        part = ((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-        cut = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
-        rows = [(int(p), group, planes(h[a:b]), _ids_out(ids[a:b])) for p, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
+        rows = [(p, group, planes(h[a:b]), _ids_out(ids[a:b])) for p, a, b in ranges(h, parts)]
         cols = list(zip(*rows, strict=True)) or [[], [], [], []]
         return pa.table([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["part", "group", "hashes", "docs"])
 
@@ -153,9 +152,9 @@ def remove_repeats(docs: DataFrame, size: int = 50, full: bool = True) -> DataFr
     # a document's row is kept as it is, repeated rows included; only doc_id and text travel
     own = texts(docs)
     total = text_bytes(own)
-    groups = total // GROUP_BYTES + 1
-    parts = int(max(64, total // 6 // RANGE_WINDOWS + 1))
-    dealt = own.withColumn("group", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(groups)))
+    large = max(1.0, (total / ROOT) ** 0.5)
+    groups, parts = int(total / large) // GROUP_BYTES + 1, max(64, int(total / large) // 6 // RANGE_WINDOWS + 1)
+    dealt = own.withColumn("group", deal(groups))
     blobs = dealt.groupBy("group").applyInArrow(_pack(size, parts), _BLOB)
     told = blobs.groupBy("part").applyInArrow(_tell, _TOLD)
     schema = _OUT if full else ", ".join(_OUT.split(", ")[:4])
