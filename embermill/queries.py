@@ -5,17 +5,16 @@ documents are items (source: provider, lang: model), conversations are requests
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import keys, models, wire
-from .operators import memo, retrieval
-from .plans import engine
+from .operators import memo, metrics, retrieval
+from .plans import compositions, engine
 from .sources import store as stores
 from .sources.providers import HashProvider, embed
 from .streaming import stream
+from .tables import new_path
 
 NOW = 1706659200
 _WS = r"[\x{09}-\x{0D}\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
@@ -36,12 +35,17 @@ def _items(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _vector(text: Column) -> Column:
-    h = F.sha2(text, 256)
+    return _numbers(F.sha2(text, 256))
+
+
+def _numbers(h: Column) -> Column:
     return F.array(*((F.conv(F.substring(h, 4 * i + 1, 4), 16, 10).cast("double") / 65536).cast("float") for i in range(16)))
 
 
 def _seeded(items: DataFrame) -> DataFrame:
-    return items.where("item % 2 = 0").groupBy("key").agg(F.first("text").alias("text")).select("key", _vector(F.col("text")).alias("vector"))
+    # digests are made where the texts are read; only key and digest are shuffled
+    own = items.where("item % 2 = 0").select("key", F.sha2("text", 256).alias("digest"))
+    return own.groupBy("key").agg(F.first("digest").alias("digest")).select("key", _numbers(F.col("digest")).alias("vector"))
 
 
 def _f(x: str) -> str:
@@ -122,7 +126,7 @@ def embed_documents(s, d):
 
 def embed_twice_stats(s, d):
     items = _items(s, d)
-    once = embed(memo.unique_misses(memo.reconcile(items, _seeded(items).limit(0))), HashProvider())
+    once = embed(engine.missing(memo.reconcile(items, _seeded(items).limit(0))), HashProvider())
     first = memo.stats(memo.reconcile(items, _seeded(items).limit(0)).withColumn("pass", F.lit(1)), "pass")
     second = memo.stats(memo.reconcile(items, once).withColumn("pass", F.lit(2)), "pass")
     return first.unionByName(second)
@@ -145,7 +149,7 @@ def metrics_by_provider(s, d):
 
 
 def metrics_lines(s, d):
-    return memo.metrics_text(metrics_by_provider(s, d))
+    return metrics.metrics_text(metrics_by_provider(s, d))
 
 
 def _log(s, d):
@@ -172,13 +176,13 @@ def owner_isolation(s, d):
     return i.groupBy("key").agg(F.countDistinct("owner").alias("o")).agg(F.count("*").alias("n_keys"), F.count_if(F.col("o") > 1).alias("shared"))
 
 
-BODIES = ('{"model":"m","input":["a","b"]}', '{"model":"m","input":"just one string"}', '{"model":"m","input":[1,2,3]}', '{"model":"m","input":[]}', '{"input":["a"]}', "{broken")
+BODIES = ('{"model":"m","input":["a","b"]}', '{"x":{"input":"s"},"model":"m","input":["a","b"]}', '{"model":"m","x":"\\"input\\":\\"s\\"","input":["a",null]}', '{"model":7,"input":"a"}', '{"model":"m","x":{"input":"s"}}', '[1]', '{"model":"m","input":"just one string"}', '{"model":"m","input":[1,2,3]}', '{"model":"m","input":[]}', '{"input":["a"]}', "{broken")
 HEADERS = ("Bearer sk-1", "bearer sk-1", "Basic x", "Bearer ", None)
-BEDROCK = ("amazon.titan-embed-text-v2:0", "eu-west-1/cohere.embed-english-v3#search_query", "cohere.embed-english-v3", "", "/cohere.embed-english-v3", "us-east-1/", "cohere.embed-english-v3#", "amazon.titan-embed-text-v2:0#x", "us-east-1/cohere.embed-x/evil", "@169.254.169.254?/cohere.embed-x")
-VERTEX = ("text-embedding-005", "us-central1/my-project/text-embedding-005", "global/p1/text-embedding-005", "eu/p1/gemini-embedding-001#RETRIEVAL_QUERY", "", "my-project/text-embedding-005", "a/b/c/d", "us-central1//text-embedding-005", "text-embedding-005#")
+BEDROCK = ("amazon.titan-embed-text-v2:0", "eu-west-1/cohere.embed-english-v3#search_query", "cohere.embed-english-v3", "", "/cohere.embed-english-v3", "us-east-1/", "cohere.embed-english-v3#", "amazon.titan-embed-text-v2:0#x", "us-east-1/cohere.embed-x/evil", "@169.254.169.254?/cohere.embed-x", "us-east-1\n/cohere.embed-x", "\nus-east-1/cohere.embed-x", "US-EAST-1/cohere.embed-x", "openai.embed")
+VERTEX = ("text-embedding-005", "us-central1/my-project/text-embedding-005", "global/p1/text-embedding-005", "eu/p1/gemini-embedding-001#RETRIEVAL_QUERY", "", "my-project/text-embedding-005", "a/b/c/d", "us-central1//text-embedding-005", "text-embedding-005#", "us-central1/my.proj:x/text-embedding-005", "us-central1\n/p1/text-embedding-005", "us-central1/p1\n/text-embedding-005", "us/p-1/gemini-embedding-001", "us-central1/p1/text?x", "us-central1/p1/")
 AZURE = ("text-embedding-3-small", "foundry:cohere-embed-v3-english", "foundry:cohere-embed-v3-english#query", "", "foundry:", "text-embedding-3-small#", "text-embedding-3-small#x")
 URIS = ("data:image/png;base64,aGVsbG8=", "image/png;base64,aGVsbG8=", "data:image/png,aGVsbG8=", "data:;base64,aGVsbG8=", "", "data:a;base64,b;base64,c")
-TTLS = ("30", "0", "", "abc", "-5", None, "+7", " 9", "99999999999999999999")
+TTLS = ("30", "0", "", "abc", "-5", None, "+7", " 9", "99999999999999999999", "30\n", "\n30", "3 0", "007")
 
 
 def _rows(s, name, values):
@@ -200,7 +204,7 @@ def bearer_tokens(s, d):
 def request_status(s, d):
     b = _rows(s, "body", BODIES)
     body = F.col("body")
-    st = wire.status(F.try_parse_json(body).isNotNull(), wire.input_texts(body), F.get_json_object(body, "$.model"), F.when(F.col("i") != 1, F.lit("sk")), F.col("i") != 3)
+    st = wire.status(wire.is_json(body), wire.input_texts(body), wire.model_name(body), F.when(F.col("i") != 1, F.lit("sk")), F.col("i") != 0)
     return b.select("i", st.alias("status"))
 
 
@@ -209,11 +213,11 @@ def bedrock_models(s, d):
 
 
 def vertex_models(s, d):
-    return _rows(s, "model", VERTEX).select("i", models.vertex(F.col("model")).alias("m")).select("i", "m.canonical", "m.host", "m.max_batch")
+    return _rows(s, "model", VERTEX).select("i", models.vertex(F.col("model")).alias("m")).select("i", "m.canonical", F.regexp_extract("m.endpoint", "^https://([^/]+)", 1).alias("host"), "m.max_batch")
 
 
 def azure_models(s, d):
-    return _rows(s, "model", AZURE).select("i", models.azure(F.col("model")).alias("m")).select("i", "m.canonical", "m.surface", "m.max_batch")
+    return _rows(s, "model", AZURE).select("i", models.azure(F.col("model")).alias("m")).select("i", "m.canonical", F.col("m.strategy").alias("surface"), "m.max_batch")
 
 
 def cache_scopes(s, d):
@@ -264,7 +268,7 @@ def responses(s, d):
 
 def stream_reconcile(s, d):
     items = _items(s, d)
-    tmp = (s.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="embermill-")).rstrip("/") + f"/stream-{abs(hash((d, id(items))))}"
+    tmp = new_path(s, "stream")
     items.write.mode("overwrite").parquet(f"{tmp}/in")
     source = s.readStream.schema(items.schema).parquet(f"{tmp}/in")
     stream.reconcile_stream(source, _seeded(items), f"{tmp}/out", f"{tmp}/check").awaitTermination()
@@ -272,8 +276,9 @@ def stream_reconcile(s, d):
 
 
 def file_ingest(s, d):
-    found = s.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(d)
-    return found.select(F.regexp_extract("path", "([^/]+)$", 1).alias("file"), F.col("length").alias("bytes")).orderBy("file")
+    ending = F.element_at(F.array(*map(F.lit, ("txt", "md", "png", "jpg", "jpeg", "pdf"))), (F.col("doc_id") % 6 + 1).cast("int"))
+    found = _t(s, d, "documents").select(F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit("."), ending).alias("file"), F.encode("text", "utf-8").alias("content"))
+    return compositions.ingested(found).select("id", "kind", "mime", F.sha2(F.coalesce("text", "data"), 256).alias("content"))
 
 
 _NAMES = "normalize_documents owner_ids text_cache_keys image_cache_keys domain_separation reconcile_documents hit_miss_by_source unique_misses provider_chunks embed_documents embed_twice_stats claims usage_by_request metrics_by_provider metrics_lines last_write_wins ttl_lookup delete_keys owner_isolation wire_input bearer_tokens request_status bedrock_models vertex_models azure_models cache_scopes data_uris ttl_config cosine_pairs topk_similar index_upsert corpus_diff chunk_documents responses stream_reconcile file_ingest".split()
@@ -283,13 +288,8 @@ def queries() -> dict:
     return {n: globals()[n] for n in _NAMES}
 
 
-def _expect(name: str, cols: tuple[str, ...], rows: list[tuple]) -> str:
-    def lit(x):
-        return "NULL" if x is None else str(x) if isinstance(x, int) else "'" + x + "'"
-
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)}) AS t({', '.join(cols)})"
-
-
+_PARSED = "j AS (SELECT i, json_valid(body) AS valid, CASE WHEN json_valid(body) THEN body END AS b FROM v), t AS (SELECT *, json_type(b, '$.input') AS kind, CASE WHEN json_type(b, '$.model') = 'VARCHAR' THEN json_extract_string(b, '$.model') END AS model, json_extract(b, '$.input[*]') AS each FROM j), parsed AS (SELECT *, CASE WHEN kind = 'VARCHAR' THEN [json_extract_string(b, '$.input')] WHEN kind = 'ARRAY' AND len(list_filter(each, lambda x: json_type(x) <> 'VARCHAR')) = 0 THEN json_extract_string(b, '$.input[*]') END AS texts FROM t)"
+_HASH = "h AS (SELECT i, strpos(model, '#') > 0 AS has, CASE WHEN strpos(model, '#') > 0 THEN substr(model, 1, strpos(model, '#') - 1) ELSE model END AS head, substr(model, strpos(model, '#') + 1) AS tail FROM v)"
 _VEC = "[" + ", ".join(f"(('0x' || substr(h, {4 * i + 1}, 4))::BIGINT / 65536.0)::DOUBLE" for i in range(16)) + "]"
 _REC = f"WITH {_ITEMS} "
 _LAST = f"WITH {_LOG}, l AS (SELECT key, arg_max(CASE WHEN event_type = 'purchase' THEN 'del' ELSE 'put' END, event_id) AS op, max(event_id) AS m FROM e GROUP BY key), live AS (SELECT l.key, CASE WHEN e.user_id % 2 = 0 THEN e.t + 86400 END AS expires_at FROM l JOIN e ON e.event_id = l.m WHERE l.op = 'put') "
@@ -304,7 +304,7 @@ def oracle_sql() -> dict[str, str]:
         "owner_ids": "SELECT DISTINCT user_id, sha256('sk-' || user_id::VARCHAR) AS owner FROM events",
         "text_cache_keys": _REC + "SELECT item, key FROM items",
         "image_cache_keys": f"WITH p AS (SELECT page_id, to_base64(encode(html)) AS b FROM pages) SELECT page_id, {img} AS key FROM p",
-        "domain_separation": "SELECT 6 AS n, 0 AS collisions",
+        "domain_separation": "WITH c(i, f) AS (VALUES (0, ['text', 'o', 'p', 's', 'm' || chr(0) || 'V', 'V', 'x']), (1, ['text', 'o', 'p', 's', 'm', 'V', 'V' || chr(0) || 'x']), (2, ['text', 'o', 'p', 's', 'm', 'V', 'image' || chr(0) || 'image/png' || chr(0) || 'YmFz']), (3, ['image', 'o', 'p', 's', 'm', 'V', 'image/png', 'YmFz']), (4, ['text', 'o', 'p', 's', 'gpt', '4-embed', 'x']), (5, ['text', 'o', 'p', 's', 'gpt-4', 'embed', 'x'])), k AS (SELECT sha256(array_to_string(list_transform(f, lambda x: strlen(x)::VARCHAR || ':' || x), '')) AS key FROM c) SELECT count(*) AS n, count(*) - count(DISTINCT key) AS collisions FROM k",
         "reconcile_documents": _REC + "SELECT item, key, is_hit FROM rec",
         "hit_miss_by_source": _REC + met,
         "unique_misses": _REC + "SELECT key, min(item) AS first_item, count(*) AS n_items, min(strlen(text)) AS bytes FROM rec WHERE NOT is_hit GROUP BY key",
@@ -319,15 +319,15 @@ def oracle_sql() -> dict[str, str]:
         "ttl_lookup": _LAST + f"SELECT key FROM live WHERE expires_at IS NULL OR {NOW} <= expires_at",
         "delete_keys": _LAST + "SELECT (SELECT count(*) FROM live WHERE key NOT IN (SELECT key FROM e WHERE event_id % 3 = 0)) AS left_over, (SELECT count(*) FROM e WHERE event_id % 3 = 0) AS deleted",
         "owner_isolation": _REC + "SELECT count(*) AS n_keys, count(*) FILTER (WHERE o > 1) AS shared FROM (SELECT key, count(DISTINCT owner) AS o FROM items GROUP BY key)",
-        "wire_input": _expect("wire_input", ("i", "texts"), [(0, "a|b"), (1, "just one string"), (2, None), (3, ""), (4, "a"), (5, None)]),
+        "wire_input": f"WITH {_values('body', BODIES)}, {_PARSED} SELECT i, array_to_string(texts, '|') AS texts FROM parsed",
         "bearer_tokens": f"WITH {_values('header', HEADERS)} SELECT i, CASE WHEN starts_with(header, 'Bearer ') THEN substr(header, 8) END AS token FROM v",
-        "request_status": _expect("request_status", ("i", "status"), [(0, 200), (1, 401), (2, 422), (3, 404), (4, 422), (5, 400)]),
-        "bedrock_models": _expect("b", ("i", "canonical", "strategy", "max_batch"), [(0, "us-east-1/amazon.titan-embed-text-v2:0", "titan", 1), (1, "eu-west-1/cohere.embed-english-v3#search_query", "cohere", 96), (2, "us-east-1/cohere.embed-english-v3#search_document", "cohere", 96), *((i, None, None, None) for i in range(3, 10))]),
-        "vertex_models": _expect("v", ("i", "canonical", "host", "max_batch"), [(0, "us-central1/my-project/text-embedding-005", "us-central1-aiplatform.googleapis.com", 250), (1, "us-central1/my-project/text-embedding-005", "us-central1-aiplatform.googleapis.com", 250), (2, "global/p1/text-embedding-005", "aiplatform.googleapis.com", 250), (3, "eu/p1/gemini-embedding-001#RETRIEVAL_QUERY", "aiplatform.eu.rep.googleapis.com", 250), *((i, None, None, None) for i in range(4, 9))]),
-        "azure_models": _expect("a", ("i", "canonical", "surface", "max_batch"), [(0, "openai:text-embedding-3-small", "openai", 100), (1, "foundry:cohere-embed-v3-english@2024-05-01-preview", "foundry", 100), (2, "foundry:cohere-embed-v3-english@2024-05-01-preview#query", "foundry", 100), *((i, None, None, None) for i in range(3, 7))]),
+        "request_status": f"WITH {_values('body', BODIES)}, {_PARSED} SELECT i, CASE WHEN NOT valid THEN 400 WHEN model IS NULL OR texts IS NULL THEN 422 WHEN i = 1 THEN 401 WHEN i = 0 THEN 404 ELSE 200 END AS status FROM parsed",
+        "bedrock_models": f"WITH {_values('model', BEDROCK)}, {_HASH}, p AS (SELECT *, CASE WHEN strpos(head, '/') > 0 THEN split_part(head, '/', 1) ELSE 'us-east-1' END AS place, CASE WHEN strpos(head, '/') > 0 THEN substr(head, strpos(head, '/') + 1) ELSE head END AS id FROM h), q AS (SELECT *, starts_with(id, 'cohere.embed') AS cohere, starts_with(id, 'amazon.titan-embed') AS titan FROM p), ok AS (SELECT *, regexp_full_match(place, '[a-z0-9-]+') AND NOT regexp_matches(id, '[/?#]') AND (cohere OR titan) AND NOT (has AND (tail = '' OR titan)) AS ok FROM q) SELECT i, CASE WHEN ok THEN place || '/' || id || CASE WHEN cohere THEN '#' || CASE WHEN has THEN tail ELSE 'search_document' END ELSE '' END END AS canonical, CASE WHEN ok THEN CASE WHEN cohere THEN 'cohere' ELSE 'titan' END END AS strategy, CASE WHEN ok THEN CASE WHEN cohere THEN 96 ELSE 1 END END AS max_batch FROM ok",
+        "vertex_models": f"WITH {_values('model', VERTEX)}, {_HASH}, p AS (SELECT *, string_split(head, '/') AS l FROM h), q AS (SELECT *, len(l) AS n, CASE WHEN len(l) = 3 THEN l[1] ELSE 'us-central1' END AS place, CASE WHEN len(l) = 3 THEN l[2] ELSE 'my-project' END AS project, l[len(l)] AS id FROM p), ok AS (SELECT *, n IN (1, 3) AND regexp_full_match(place, '[a-z0-9-]+') AND regexp_full_match(project, '[a-z0-9-]+') AND id <> '' AND NOT contains(id, '?') AND NOT (has AND tail = '') AS ok FROM q) SELECT i, CASE WHEN ok THEN place || '/' || project || '/' || id || CASE WHEN has THEN '#' || tail ELSE '' END END AS canonical, CASE WHEN ok THEN CASE WHEN place = 'global' THEN 'aiplatform.googleapis.com' WHEN place IN ('us', 'eu') THEN 'aiplatform.' || place || '.rep.googleapis.com' ELSE place || '-aiplatform.googleapis.com' END END AS host, CASE WHEN ok THEN 250 END AS max_batch FROM ok",
+        "azure_models": f"WITH {_values('model', AZURE)}, {_HASH}, p AS (SELECT *, starts_with(head, 'foundry:') AS foundry, CASE WHEN starts_with(head, 'foundry:') THEN substr(head, 9) ELSE head END AS id FROM h), ok AS (SELECT *, id <> '' AND NOT (has AND (NOT foundry OR tail = '')) AS ok FROM p) SELECT i, CASE WHEN ok THEN CASE WHEN foundry THEN 'foundry:' || id || '@2024-05-01-preview' ELSE 'openai:' || id END || CASE WHEN has THEN '#' || tail ELSE '' END END AS canonical, CASE WHEN ok THEN CASE WHEN foundry THEN 'foundry' ELSE 'azure_openai' END END AS surface, CASE WHEN ok THEN 100 END AS max_batch FROM ok",
         "cache_scopes": "SELECT DISTINCT source, lang, sha256('https://' || source || chr(0) || lang || chr(0) || 'kit1') AS scope FROM documents",
         "data_uris": f"WITH {_values('uri', URIS)}, p AS (SELECT i, uri, strpos(uri, ';base64,') AS a FROM v) SELECT i, CASE WHEN starts_with(uri, 'data:') AND a > 6 THEN substr(uri, 6, a - 6) END AS mime, CASE WHEN starts_with(uri, 'data:') AND a > 6 THEN substr(uri, a + 8) END AS data FROM p",
-        "ttl_config": _expect("t", ("i", "seconds"), [(0, 30), *((i, None) for i in range(1, 6)), (6, 7), (7, None), (8, None)]),
+        "ttl_config": f"WITH {_values('ttl', TTLS)}, p AS (SELECT i, CASE WHEN regexp_full_match(ttl, '[+]?[0-9]+') THEN TRY_CAST(ttl AS BIGINT) END AS n FROM v) SELECT i, CASE WHEN n > 0 THEN n END AS seconds FROM p",
         "cosine_pairs": f"SELECT a.vec_id AS a, b.vec_id AS b, round({_COS}, 6) AS sim FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE {_COS} >= 0.4",
         "topk_similar": f"WITH x AS (SELECT a.vec_id AS query_id, b.vec_id, {_COS} AS c FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0), r AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, vec_id) AS rank, round(c, 6) AS sim FROM x) SELECT * FROM r WHERE rank <= 3",
         "index_upsert": "WITH o AS (SELECT vec_id AS id, 1 AS seq, 'text' AS kind, label FROM embeddings), n AS (SELECT id + 3 AS id, 2 AS seq, 'image' AS kind, label FROM o WHERE id % 5 = 0), u AS (SELECT * FROM n UNION ALL SELECT * FROM o WHERE id NOT IN (SELECT id FROM n)) SELECT kind, seq, count(*) AS n, sum(label)::BIGINT AS labels FROM u GROUP BY kind, seq",
@@ -335,4 +335,5 @@ def oracle_sql() -> dict[str, str]:
         "chunk_documents": "WITH c AS (SELECT doc_id, text, greatest(ceil((length(text) - 20) / 180.0)::BIGINT, 1) AS k FROM documents), x AS (SELECT doc_id, text, unnest(range(0, k)) AS i FROM c), y AS (SELECT doc_id, length(substr(text, i * 180 + 1, 200)) AS n FROM x) SELECT doc_id, count(*) AS n_chunks, sum(n)::BIGINT AS chars, max(n) AS longest FROM y GROUP BY doc_id",
         "responses": "SELECT conv_id AS request_id, count(*) AS n FROM conversations GROUP BY conv_id",
         "stream_reconcile": _REC + "SELECT item, key, is_hit FROM rec",
+        "file_ingest": "WITH f AS (SELECT doc_id, ['txt', 'md', 'png', 'jpg', 'jpeg', 'pdf'][doc_id % 6 + 1] AS e, text FROM documents), k AS (SELECT *, 'doc' || doc_id::VARCHAR || '.' || e AS file, CASE WHEN e IN ('txt', 'md') THEN 'text' ELSE 'image' END AS kind FROM f WHERE e <> 'pdf') SELECT kind || ':' || file AS id, kind, CASE WHEN kind = 'image' THEN CASE WHEN e = 'png' THEN 'image/png' ELSE 'image/jpeg' END END AS mime, sha256(CASE WHEN kind = 'text' THEN text ELSE to_base64(encode(text)) END) AS content FROM k",
     }
