@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import landed
+from .shared import dropped, landed, salted
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Links each node's larger neighbours to the smallest of the node and its neighbours."""
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+    # the root of a large component has most of its nodes as neighbours
+    return salted(both.where("b > a"), least, "a", "b", salts=8).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -26,8 +27,8 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (a, b), roots included: root is the smallest node of the component.
 
-    Alternates large and small stars, each round a written table, until the edges no longer change; what remains are stars
-    around the roots.  The number of rounds grows with the logarithm of the diameter.  Loops and repeated edges are allowed;
+    Alternates large and small stars, each round a written table that replaces the one before, until the edges no longer
+    change; what remains are stars around the roots.  The number of rounds grows with the logarithm of the diameter.  Loops and repeated edges are allowed;
     nodes without a proper edge are not listed.
     """
     now = landed(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
@@ -37,5 +38,6 @@ def components(edges: DataFrame) -> DataFrame:
         if mark == seen or not mark[0]:
             break
         seen = mark
-        now = landed(_small_star(_large_star(now).distinct()).distinct(), "edges")
+        before, now = now, landed(_small_star(_large_star(now).distinct()).distinct(), "edges")
+        dropped(before)
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select("b", "b").distinct())

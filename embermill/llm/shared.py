@@ -6,6 +6,7 @@ space, so that word borders, hashes and windows are array operations on that buf
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that are hashed at a time; a longer document makes a longer chunk.
 CHUNK = 1 << 20
+#: Bytes from which a span is told by a digest.
+LONG = 512
 #: Stands for a null document id inside numpy code: the largest, so a null id is never the smaller one.
 NO_ID = np.iinfo(np.int64).max
 
@@ -46,7 +49,7 @@ def shared_dir(spark: SparkSession) -> str:
         own = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = own.get() if own.isDefined() else None
     if not found:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="embermill-")
         spark.sparkContext.setCheckpointDir(found)
@@ -155,7 +158,11 @@ class Words:
         return len(self.starts)
 
     def spans(self, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-        """A hash of each byte span: a polynomial in its bytes (A-Z lower-cased on demand), by prefix sums, then mixed."""
+        """A hash of each byte span: a polynomial in its bytes (A-Z lower-cased on demand), by prefix sums, then mixed.
+
+        Unequal spans of LONG bytes and more can be constructed that a polynomial modulo 2**64 does not tell apart, whatever
+        its base; these few have a digest instead.
+        """
         up, down = powers(_BASE, len(self.data) + 1)
         x = (_LOWER[self.data] if lower else self.data).astype(np.uint64)
         x += np.uint64(1)
@@ -164,7 +171,11 @@ class Words:
         sums[0] = 0
         np.cumsum(x, out=sums[1:])
         h = (sums[ends] - sums[starts]) * down[starts]
-        return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        h = mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        for i in np.flatnonzero(ends - starts >= LONG):
+            part = self.data[starts[i] : ends[i]]
+            h[i] = int.from_bytes(hashlib.blake2b((_LOWER[part] if lower else part).tobytes(), digest_size=8).digest(), "little")
+        return h
 
     def hashes(self, lower: bool = False) -> np.ndarray:
         return self.spans(self.starts, self.ends, lower)
