@@ -1,4 +1,6 @@
-"""The queries opN_<name> over the whole tables, with production parameters, and the SQL that gives the same rows."""
+"""The queries opN_<name> over the whole tables, with production parameters, and SQL for the two that SQL can express: removal
+of repeated passages and near duplicates.  The others rest on a library's vocabulary or on a model trained here; tests hold
+them against plain versions."""
 
 from __future__ import annotations
 
@@ -55,5 +57,30 @@ def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
+_WORDS = r"regexp_extract_all(coalesce({}, ''), '[^\x20\x09-\x0D]+')"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op3_substring_dedup": f"""
+            WITH d AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents),
+            s AS (SELECT doc_id, unnest(range(1, len(w) - 48)) AS i, w FROM d WHERE len(w) >= 50),
+            x AS (SELECT doc_id, i, md5(array_to_string(list_slice(w, i, i + 49), ' ')) AS h FROM s),
+            f AS (SELECT h, min(doc_id) AS first FROM x GROUP BY h HAVING count(*) > 1),
+            g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM x JOIN f USING (h) WHERE doc_id > first),
+            p AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS word FROM d),
+            k AS (SELECT p.doc_id, count(*) AS kept, string_agg(word, ' ' ORDER BY p.p) AS text FROM p LEFT JOIN g ON p.doc_id = g.doc_id AND p.p = g.p WHERE g.p IS NULL GROUP BY p.doc_id)
+            SELECT d.doc_id, len(w) AS n_words, len(w) - coalesce(kept, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM d LEFT JOIN k ON d.doc_id = k.doc_id""",
+        "op8_near_duplicates": f"""
+            WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.format(_LOWER)} AS w FROM documents),
+            s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d),
+            n AS (SELECT doc_id, len(g) AS n, min(doc_id) OVER (PARTITION BY list_sort(g)) AS one FROM s),
+            e AS (SELECT doc_id, unnest(g) AS g, len(g) AS n FROM s JOIN n USING (doc_id) WHERE doc_id = one),
+            c AS (SELECT x.doc_id AS a, y.doc_id AS b FROM e x JOIN e y ON x.g = y.g AND x.doc_id < y.doc_id AND 100 * least(x.n, y.n) >= 85 * greatest(x.n, y.n) GROUP BY x.doc_id, y.doc_id, x.n, y.n HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*))),
+            l AS (SELECT a, b FROM c UNION SELECT b, a FROM c),
+            r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+            m AS (SELECT a, min(b) AS b FROM r GROUP BY a),
+            t AS (SELECT n.doc_id, n.n, CASE WHEN n.n = 0 THEN n.doc_id ELSE least(one, coalesce(m.b, one)) END AS component_id FROM n LEFT JOIN m ON n.one = m.a)
+            SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM t""",
+    }
