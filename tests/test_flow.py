@@ -10,8 +10,8 @@ from embermill import queries_flow as q
 from embermill.client import Client
 from embermill.config import Config
 from embermill.operators import memo, metrics, retrieval
-from embermill.plans import compositions, engine
-from embermill.sources import codecs, wires
+from embermill.plans import compositions, engine, requests
+from embermill.sources import codecs, frames, wires
 from embermill.sources.providers import HashProvider, Http, Stub, WireProvider, usage
 from embermill.sources.store import BytesStore, FolderClient, Store
 from embermill.streaming import stream
@@ -277,3 +277,22 @@ def test_metric_lines(spark):
     lines = spark.createDataFrame([('a_total{content_type="text",provider="p"} 3',), ('a_total{provider="q",content_type="text"} 4.5',), ("# HELP a_total x",), ("a_total{} x",)], "value string")
     assert metrics.sum_metric(lines, "a_total").first()["total"] == 7.5 and metrics.sum_metric(lines, "a_total", provider="q").first()["total"] == 4.5
     assert metrics.sum_metric(lines, "b_total").first()["total"] == 0
+
+
+def test_frames_as_files(spark, tmp_path):
+    body = json.dumps({"model": "m", "input": ["a", "b"]})
+    rows = [{"request_id": 1, "provider": "openai", "authorization": "Bearer k", "body": body}, {"request_id": 2, "provider": "openai", "body": body}]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text("\n".join([*map(json.dumps, rows), "broken"]))
+    config = Config()
+    seen = requests.judged(frames.read_requests(spark, str(tmp_path / "in")), config)
+    assert sorted((r.request_id or 0, r.status) for r in seen.collect()) == [(0, 400), (1, 200), (2, 401)]
+    items = requests.items(seen, config)
+    done, fetched = engine.billed(items, Store(spark, str(tmp_path / "log")), WireProvider(Stub()), 1, order="place", at=str(tmp_path / "run"))
+    frames.write_answers(requests.answers(seen, done, fetched), str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out")).where("status = 200 and hits = 0 and misses = 2").count() == 1
+    stream_in = frames.stream_requests(spark, str(tmp_path / "in"))
+    frames.stream_judgement(requests.judged(stream_in, config), str(tmp_path / "judged"), str(tmp_path / "check")).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "judged")).where("status = 401").count() == 1
+    frames.write_lines(spark, ["one", "two"], str(tmp_path / "lines"))
+    assert spark.read.text(str(tmp_path / "lines")).count() == 2
