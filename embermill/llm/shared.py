@@ -79,9 +79,10 @@ def dropped(*tables: DataFrame) -> None:
 
 def salted(rows: DataFrame, keys: DataFrame, key: str, *by: str, how: str = "inner", salts: int = 16) -> DataFrame:
     """rows joined with the one row of keys that has their key.  A key that many rows have is spread over `salts` tasks by the
-    columns `by`."""
+    columns `by`.  Both sides are shuffled: the planner knows the size of keys before they are multiplied, and from a
+    compressed file, so that its own choice could broadcast a table much larger than its limit."""
     salt = fresh(rows, "salt")
-    many = keys.withColumn(salt, F.explode(F.array(*map(F.lit, range(salts)))))
+    many = keys.withColumn(salt, F.explode(F.array(*map(F.lit, range(salts))))).hint("merge")
     return rows.withColumn(salt, F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int")).join(many, [key, salt], how).drop(salt)
 
 
