@@ -69,12 +69,15 @@ def landed(df: DataFrame, name: str) -> DataFrame:
 
 
 def dropped(*tables: DataFrame) -> None:
-    """Deletes landed tables that nothing reads any more."""
+    """Deletes landed tables that nothing reads any more, and lets the driver's collector find the shuffles that no plan refers
+    to any more: Spark deletes their files then, not before."""
     for t in tables:
         spark = t.sparkSession
         for path in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
             at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    for t in tables[:1]:
+        t.sparkSession.sparkContext._jvm.System.gc()
 
 
 def salted(rows: DataFrame, keys: DataFrame, key: str, *by: str, how: str = "inner", salts: int = 16) -> DataFrame:
