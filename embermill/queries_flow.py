@@ -54,8 +54,8 @@ def _frames(s: SparkSession, d: str, images: bool = False) -> DataFrame:
 def _flow(s: SparkSession, d: str, images: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Requests judged, items answered and vectors fetched: first the even requests, then, over the same store, all."""
     at = new_path(s, "flow")
-    seen = requests.judged(_frames(s, d, images), CONFIG, images)
-    items = requests.items(seen, CONFIG, images)
+    seen = requests.judged(_frames(s, d, images), CONFIG, images).persist()
+    items = requests.items(seen, CONFIG, images).persist()  # not written: they carry the credential
     store, provider = Store(s, f"{at}/log"), WireProvider(Stub())
     engine.billed(items.where("request_id % 2 = 0"), store, provider, 1, order="place", at=f"{at}/1")
     done, fetched = engine.billed(items, store, provider, 2, order="place", at=f"{at}/2")
