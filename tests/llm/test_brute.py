@@ -189,6 +189,19 @@ def test_forest_paths_and_threshold():
     assert gain(at) == pytest.approx(max(gain(c) for c in score))  # ties are on the same side of the threshold
 
 
+def test_quality_rules_fit_all_labelled_rows(spark):
+    rng = np.random.default_rng(5)
+    ratios = np.concatenate([rng.normal(size=(20_500, 10)), rng.normal(2, 1, size=(1000, 10))])
+    good = np.arange(len(ratios)) < 20_500
+    zero = dict.fromkeys(quality_rules.COUNTS, 0)
+    rows = [{"doc_id": i, **zero, "base_failed": False, "ratios": r} for i, r in enumerate(ratios.tolist())]
+    labels = spark.createDataFrame([(i, int(g)) for i, g in enumerate(good.tolist())], "doc_id long, quality int")
+    forest, threshold = quality_rules.fitted(spark.createDataFrame(rows, quality_rules._MEASURED), labels)
+    plain = quality_rules.Forest(ratios[good], ratios.min(0), ratios.max(0))
+    assert forest.size == 20_500 and (forest.path == plain.path).all() and (forest.cut == plain.cut).all()
+    assert threshold == quality_rules.calibrated(plain, ratios, good)
+
+
 # --- personal data
 
 BASE = {
