@@ -8,8 +8,10 @@ offset are one aligned stretch.  The slots of its template windows have to be co
 against equal values in the document, and different against different.  A re-parameterised question passes, a text that
 only shares the sentence pattern by chance with clashing values does not.
 
-Only hashes and positions of documents' windows are exploded, after which those without a partner are gone; texts are read
-again for the documents that met an item.
+Windows are made for documents that can hold one.  A window of 13 words holds seven stretches of seven words, one of which
+begins at a multiple of seven; so a document that shares a window with an item shares such an anchor with it, and only
+anchors are hashed in all documents.  Of the documents that meet an item's anchor, hashes and positions of all windows are
+exploded, after which those without a partner are gone.
 """
 
 from __future__ import annotations
@@ -46,7 +48,7 @@ def with_words(frame: DataFrame, text: Column) -> DataFrame:
 def template_word(w: Column, folded: Column) -> Column:
     """`#n` for a number (with or without a unit attached), `#u` for a unit, `#p` for a capitalised word, else folded."""
     first, rest = F.substring(w, 1, 1), F.substring(w, 2, 1 << 20)
-    capital = (F.lower(first) != first) & (F.length(w) > 1) & (F.lower(rest) == rest)
+    capital = (F.lower(w) != w) & (F.lower(first) != first) & (F.length(w) > 1) & (F.lower(rest) == rest)  # the first is the cheapest
     return F.when(w.between("0", "9\U0010ffff"), "#n").when(folded.isin([u.upper() for u in UNITS]), "#u").when(capital, "#p").otherwise(folded)
 
 
@@ -72,6 +74,20 @@ def _windows(frame: DataFrame, sizes: list[int], *keys: str) -> DataFrame:
     return has.select(*keys, F.explode(F.concat(*(of(size, v) for size in sizes for v in (False, True)))).alias("w")).select(*keys, "w.size", "w.verbatim", "w.at", "w.hash")
 
 
+def _anchors(frame: DataFrame, sizes: list[int], every: bool, *keys: str) -> DataFrame:
+    """keys and hash of the anchors of windows of `size` words: half as many words, rounded up, at multiples of as many words as
+    put exactly one of them into each window, or at every word; of template words, and of folded ones."""
+    has = frame.select(*keys, F.zip_with("raw", "folded", template_word).alias("t"), "folded")
+
+    def of(size: int, verbatim: bool) -> Column:
+        n, words = (size + 1) // 2, "folded" if verbatim else "t"
+        last = F.size(words) - n
+        starts = F.when(last >= 0, F.sequence(F.lit(0), last, F.lit(1 if every else size - n + 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.xxhash64(F.lit(2 * size + verbatim), *(F.get(words, i + k) for k in range(n))))
+
+    return has.select(*keys, F.explode(F.concat(*(of(size, v) for size in sizes for v in (False, True)))).alias("anchor"))
+
+
 def _levels(top: int) -> list[int]:
     return [4**k for k in range(top.bit_length()) if 4**k <= top]
 
@@ -100,14 +116,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, prints
     literal = F.size(F.filter(F.zip_with(*held, template_word), lambda w: ~w.startswith("#")))
     wanted = wanted.where(F.col("verbatim") | (literal >= F.least(F.lit(LITERAL), F.col("size")))).select("item_id", "size", "verbatim", F.col("at").alias("item_at"), "hash").distinct()
     small = wanted.count() <= BROADCAST_WINDOWS
-    there = _windows(with_words(rows, F.col("text")), [size, *short], "doc_id", "print")
+    anchors = _anchors(items.where(F.size("raw") >= size), [size], True)
+    for n in short:
+        anchors = anchors.unionByName(_anchors(items.where(F.size("raw") == n), [n], True))
+    anchors = anchors.distinct()
+    anchored = _anchors(with_words(rows, F.col("text")), [size, *short], False, "print").join(F.broadcast(anchors) if anchors.count() <= BROADCAST_WINDOWS else anchors, "anchor", "left_semi")
+    near = landed(rows.join(anchored.select("print").distinct(), "print", "left_semi"), "near")
+    there = _windows(with_words(near, F.col("text")), [size, *short], "doc_id", "print")
     met = there.join(F.broadcast(wanted) if small else wanted, ["hash", "size", "verbatim"])
     window = F.struct(F.col("item_at"), F.col("size"))
     aligned = met.groupBy("doc_id", "print", "item_id", (F.col("at") - F.col("item_at")).alias("offset")).agg(F.collect_set(F.when(~F.col("verbatim"), window)).alias("found"), F.collect_set(F.when(F.col("verbatim"), window)).alias("same"))
     aligned = landed(aligned.withColumn("same", F.array_except("same", "found")), "aligned")  # read twice below; the windows of all texts are made once
 
     # slots of each aligned stretch: positions of the item that lie in a template window found
-    texts_met = with_words(rows.join(aligned.select("print").distinct(), "print", "left_semi"), F.col("text")).select(F.col("print").alias("own_print"), F.col("doc_id").alias("own_id"), F.col("raw").alias("doc"), F.col("folded").alias("doc_folded")).dropDuplicates(["own_print", "own_id"])
+    texts_met = with_words(near.join(aligned.select("print").distinct(), "print", "left_semi"), F.col("text")).select(F.col("print").alias("own_print"), F.col("doc_id").alias("own_id"), F.col("raw").alias("doc"), F.col("folded").alias("doc_folded")).dropDuplicates(["own_print", "own_id"])
     both = aligned.join(texts_met, (F.col("print") == F.col("own_print")) & F.col("doc_id").eqNullSafe(F.col("own_id"))).drop("own_print", "own_id")
     items_met = items.groupBy("item_id", "raw", "folded").agg(F.lit(1).alias("one")).select(F.col("item_id").alias("of_item"), F.col("raw").alias("item"), F.col("folded").alias("item_folded"))
     both = both.join(F.broadcast(items_met) if small else items_met, F.col("item_id").eqNullSafe(F.col("of_item")))

@@ -454,6 +454,19 @@ def test_decontamination(spark):
     assert decontamination.without_contaminated(rich(spark, []), bench).count() == 0 and decontamination.without_contaminated(rich(spark, rows[:2]), bench.limit(0)).count() == 2
 
 
+def test_decontamination_makes_windows_of_anchored_documents_only(spark, monkeypatch):
+    rng = random.Random(9)
+    items = [(n, " ".join(words(rng, n, 10**6))) for n in (1, 2, 3, 6, 12, 13)]
+    rows = [(100 * n + k, " ".join([*words(rng, k, 500), change(t), *words(rng, 9, 500)])) for n, t in items for change in (str, str.upper) for k in range(14)]
+    rows += [(5000 + k, " ".join(words(rng, 40, 500))) for k in range(50)]
+    near = []
+    landed = decontamination.landed
+    monkeypatch.setattr(decontamination, "landed", lambda df, name: near.append(landed(df, name)) or near[-1])
+    got = decontamination.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert all(list(r.item_ids) == ([r.doc_id // 100] if r.doc_id < 5000 else []) for r in got) and len(got) == len(rows)
+    assert near[0].where("doc_id >= 5000").count() == 0 and near[0].count() == len(rows) - 50
+
+
 # --- the rest
 
 
