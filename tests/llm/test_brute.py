@@ -131,6 +131,16 @@ def test_ranges_cost_what_is_there():
         assert all(int((int(x) >> 32) * parts) >> 32 == p for p, a, z in found for x in h[a:z])
 
 
+def test_every_feature_of_every_token_is_trained():
+    rng = random.Random(4)
+    token, _, at = lm_scoring.tokens(shared.Words([" ".join(words(rng, n, 10**6)).encode() for n in (0, 1, 2, 3, 30_000)]))
+    rows, kind = lm_scoring._rows(token, at), lm_scoring.classes(token, np.unique(token[:64]))
+    assert rows.shape == (len(token), lm_scoring.SLOTS) and rows.min() >= 0 and rows.max() < lm_scoring.ROWS
+    trainer = lm_scoring.Trainer(np.zeros((lm_scoring.ROWS + 1, lm_scoring.WIDTH), np.float32))
+    trainer.step(rows, kind)
+    assert trainer.touched[:-1].sum() == lm_scoring.SLOTS * len(token) and trainer.touched[-1] == len(token)
+
+
 # --- quality rules
 
 
@@ -459,12 +469,12 @@ def test_decontamination_makes_windows_of_anchored_documents_only(spark, monkeyp
     items = [(n, " ".join(words(rng, n, 10**6))) for n in (1, 2, 3, 6, 12, 13)]
     rows = [(100 * n + k, " ".join([*words(rng, k, 500), change(t), *words(rng, 9, 500)])) for n, t in items for change in (str, str.upper) for k in range(14)]
     rows += [(5000 + k, " ".join(words(rng, 40, 500))) for k in range(50)]
-    near = []
+    made = {}
     landed = decontamination.landed
-    monkeypatch.setattr(decontamination, "landed", lambda df, name: near.append(landed(df, name)) or near[-1])
+    monkeypatch.setattr(decontamination, "landed", lambda df, name: made.setdefault(name, landed(df, name)))
     got = decontamination.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert all(list(r.item_ids) == ([r.doc_id // 100] if r.doc_id < 5000 else []) for r in got) and len(got) == len(rows)
-    assert near[0].where("doc_id >= 5000").count() == 0 and near[0].count() == len(rows) - 50
+    assert made["near"].where("doc_id >= 5000").count() == 0 and made["near"].count() == len(rows) - 50
 
 
 # --- the rest
