@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Words, chunked, deal, id_array, landed, mix, planes, ranges, text_bytes, texts, unplanes
+from .shared import LARGE, Words, chunked, deal, id_array, landed, mix, planes, ranges, text_bytes, texts, unplanes
 
 #: Classes of frequent tokens and of suffixes, classes of a family, rows of hashed features, features a token (and a bias row
 #: at the end).
@@ -146,7 +146,7 @@ def _train(weights: np.ndarray, frequent: np.ndarray, of_task: int):
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, task = None, 0
         for b in batches:
-            for _, words in chunked(b.column("doc_id"), b.column("text")):
+            for _, words in chunked(b.column("doc_id"), b.column("text"), LARGE):
                 t = t or Trainer(weights)
                 token, _, at = tokens(words)
                 task ^= int(token[0])
@@ -194,7 +194,7 @@ def _distinct(t: pa.Table) -> tuple[np.ndarray, np.ndarray, list]:
     chunks, every, weight = [], [], []
     train_of = t.column("train").to_pylist()
     done = 0
-    for ids, words in chunked(t.column("doc_id"), t.column("text")):
+    for ids, words in chunked(t.column("doc_id"), t.column("text"), LARGE):
         token, doc, at = tokens(words)
         train = np.array(train_of[done : done + len(ids)], bool)
         done += len(ids)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import Words, chunked, dropped, fresh, id_array, landed, mix, planes, salted, texts, unplanes
+from .shared import Words, chunked, dropped, fresh, id_array, landed, lean, mix, planes, salted, texts, unplanes
 
 BUCKETS, ROWS, BANDS, MANTISSA = 256, 5, 51, 10
 _BITS, _MIN = 52, 44  # bits of a shingle hash that are kept; those below the bucket number
@@ -231,7 +231,7 @@ def _met(meetings: DataFrame, kit: DataFrame, threshold: int) -> DataFrame:
     """Links found in meetings (band, p, q, block, root, node): blocks p and q of a band."""
     full = meetings.join(kit, "node").select("band", "p", "q", "block", "root", "node", "n", "registers", "members")
     ordered = full.repartition("band", "p", "q").sortWithinPartitions("band", "p", "q")
-    return landed(ordered.mapInArrow(_meet(threshold), "a long, b long").distinct(), "links")
+    return landed(ordered.mapInArrow(lean(_meet(threshold)), "a long, b long").distinct(), "links")
 
 
 def _shared_bands(nodes: DataFrame) -> DataFrame:
@@ -253,7 +253,7 @@ def _sets(live: DataFrame, nodes: DataFrame, docs: DataFrame, size: int) -> Data
     wanted = live.select("node").distinct().join(nodes.select("node", "first_id"), "node")
     found = docs.join(wanted.select("first_id").distinct(), docs["doc_id"].eqNullSafe(F.col("first_id")), "left_semi")
     # a doc_id may stand for several texts; of repeated sets one row is enough
-    members = found.mapInArrow(_sketch(size, True), "node long, n long, registers binary, members binary")
+    members = found.mapInArrow(lean(_sketch(size, True)), "node long, n long, registers binary, members binary")
     return landed(wanted.drop("first_id").join(members, "node").dropDuplicates(["node"]), "sets")
 
 
@@ -286,7 +286,7 @@ def _classes(docs: DataFrame, size: int, threshold: int) -> DataFrame:
     """doc_id, print, n, node, component_id and keeper of every row: the hash of its text, its set's size and node, the
     smallest id of its component, and the node of the component whose document of that id stands for it."""
     own = texts(docs).withColumn("print", F.xxhash64("text"))
-    rows = landed(own.mapInArrow(_sketch(size, False), "doc_id long, print long, n long, node long, bands array<long>"), "sketch")
+    rows = landed(own.mapInArrow(lean(_sketch(size, False)), "doc_id long, print long, n long, node long, bands array<long>"), "sketch")
     least = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("n").alias("n"), F.first("bands").alias("bands"))
     nodes = landed(least, "nodes")
     live = _shared_bands(nodes)

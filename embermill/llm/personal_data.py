@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import fresh, landed, salted, texts
+from .shared import fresh, landed, lean, salted, sliced, texts
 
 #: The kinds in order, and the base patterns (written so that each text is scanned once).
 KINDS = ("email", "ip", "card", "phone")
@@ -150,7 +150,7 @@ def contexts(text: str, base: list[tuple[str, int, int]]) -> list[dict]:
 def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
     case = pa.list_(pa.struct([("patterns", pa.list_(pa.string())), ("instance", pa.string()), ("kind", pa.string()), ("could", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-    for b in batches:
+    for b in (part for whole in batches for part in sliced(whole)):
         spans, digests, cases = [], [], []
         for t in b.column("text").to_pylist():
             t = t or ""
@@ -196,7 +196,7 @@ def personal_data(docs: DataFrame, prints: bool = False) -> DataFrame:
     """
     schema = f"doc_id long, base {_SPAN}, base_sha256 string, cases {_CASE}"
     own = texts(docs).withColumn("print", F.xxhash64("text"))
-    rows = landed(own.mapInArrow(_found, f"{schema}, print long").withColumn("row", F.monotonically_increasing_id()), "spans")
+    rows = landed(own.mapInArrow(lean(_found), f"{schema}, print long").withColumn("row", F.monotonically_increasing_id()), "spans")
     cases = rows.select("row", F.explode("cases").alias("c")).select("row", "c.*")
     every = cases.select("row", F.explode("patterns").alias("pattern"), "instance", "kind", "could", "start", "end")
     best = trusted_patterns(every).groupBy("pattern").agg(F.max(F.struct("trust", "kind")).alias("b")).select("pattern", F.col("b.kind").alias("of"), "b.trust")
@@ -240,7 +240,7 @@ def redacted(docs: DataFrame) -> DataFrame:
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in sliced(whole)):
             cols = {name: b.column(name) for name in names}
             if b.column(found).null_count < b.num_rows:
                 text, at = b.column("text").to_pylist(), b.column(found).to_pylist()
@@ -251,4 +251,4 @@ def redacted(docs: DataFrame) -> DataFrame:
                     cols["n_chars"] = pa.array(n, b.schema.field("n_chars").type)
             yield pa.RecordBatch.from_pydict(cols)
 
-    return both.mapInArrow(run, docs.schema)
+    return both.mapInArrow(lean(run), docs.schema)

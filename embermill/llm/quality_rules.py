@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import Words, batches, chunked, dropped, id_array, landed, planes, texts, unplanes
+from .shared import Words, batches, chunked, dropped, id_array, landed, lean, planes, texts, unplanes
 
 #: Trees, levels, and the weight of a lost good document; ranges of scores that are searched apart.
 TREES, DEPTH, LOSS, RANGES = 128, 12, 8.0, 4096
@@ -178,8 +178,10 @@ def parted(scores: DataFrame) -> float:
     for r in per_part:
         before.append((r["part"], good, bad))
         good, bad = good + r["good"], bad + r["bad"]
+    # as an Arrow table: rows would pass through Python workers of another kind, which stay
+    ranges = pa.table(list(map(pa.array, zip(*before, strict=True))), ["part", "good_before", "bad_before"])
     upto = Window.partitionBy("part").orderBy("score")
-    run = scores.withColumn("part", part).join(F.broadcast(scores.sparkSession.createDataFrame(before, "part long, good_before long, bad_before long")), "part")
+    run = scores.withColumn("part", part).join(F.broadcast(scores.sparkSession.createDataFrame(ranges)), "part")
     over = [1 - (F.col(f"{c}_before") + F.sum(c).over(upto)) / F.lit(float(n)) for c, n in (("bad", bad), ("good", good))]
     return run.select("score", (over[0] - LOSS * over[1]).alias("gain")).orderBy(F.desc("gain"), "score").first()["score"]
 
@@ -243,11 +245,11 @@ def fitted(measured: DataFrame, labels: DataFrame) -> tuple[Forest, float] | Non
         if not box["good"]:
             return None
         forest = Forest(None, *(np.array([box[f"{name}{k}"] for k in width]) for name in ("low", "high")))
-        found = good.mapInArrow(_counted(forest), "tree int, counts binary").groupBy("tree").applyInArrow(_summed, "tree int, counts binary").collect()  # a row a tree
+        found = good.mapInArrow(lean(_counted(forest)), "tree int, counts binary").groupBy("tree").applyInArrow(_summed, "tree int, counts binary").collect()  # a row a tree
         forest.settle(np.stack([unplanes(r["counts"], np.int64) for r in sorted(found, key=lambda r: r["tree"])]))
         if not box["bad"]:
             return forest, math.inf
-        scores = landed(rows.mapInArrow(_scored(forest), "score double, good long, bad long").groupBy("score").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")), "scores")
+        scores = landed(rows.mapInArrow(lean(_scored(forest)), "score double, good long, bad long").groupBy("score").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")), "scores")
         try:
             return forest, parted(scores)
         finally:
@@ -264,7 +266,7 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     both ways counts as bad; without any good labelled row that passes the base rules, the rules alone decide.  Repeated
     rows are judged alike.  Other columns are ignored.
     """
-    measured = landed(texts(docs).mapInArrow(_measured, _MEASURED), "measured")
+    measured = landed(texts(docs).mapInArrow(lean(_measured), _MEASURED), "measured")
     model = fitted(measured, labels)
 
     def run(its: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,12 +277,12 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 kept = ~failed & (score <= (model[1] if model else math.inf))
                 yield pa.record_batch([*(b.column(c) for c in _NAMES), pa.array(kept), pa.array(score)], [*_NAMES, "kept", "score"])
 
-    return measured.mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, kept boolean, score double")
+    return measured.mapInArrow(lean(run), "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, kept boolean, score double")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs, all columns, that judge keeps; texts are not shuffled."""
-    model = fitted(texts(docs).mapInArrow(_measured, _MEASURED), labels)
+    model = fitted(texts(docs).mapInArrow(lean(_measured), _MEASURED), labels)
 
     def run(its: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in its:
@@ -292,4 +294,4 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 yield b.slice(at, words.n_docs).filter(pa.array(kept))
                 at += words.n_docs
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

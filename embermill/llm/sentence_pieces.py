@@ -22,13 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import texts
+from .shared import lean, sliced, texts
 
 MARK = "▁"
 _UNKNOWN = "\N{REPLACEMENT CHARACTER}".encode()
-#: Segments and pairs of pieces that a worker remembers; fewer equal-length segments than FEW, or longer ones than LONG
+#: Segments and pairs of pieces that a worker remembers; characters encoded at a time; fewer equal-length segments than FEW, or longer ones than LONG
 #: characters, are searched one by one.
-REMEMBERED, PAIRS, FEW, LONG = 1 << 18, 1 << 20, 8, 64
+REMEMBERED, PAIRS, SOME, FEW, LONG = 1 << 17, 1 << 19, 1 << 21, 8, 64
 _SEGMENT = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
 _BASE = 0x9E3779B97F4A7C15
 _NEVER = float("inf")
@@ -205,14 +205,14 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
-def _some(b: pa.RecordBatch, size: int = 4 << 20) -> Iterator[list[str]]:
-    """Texts of a batch, about `size` characters at a time."""
+def _some(b: pa.RecordBatch) -> Iterator[list[str]]:
+    """Texts of a batch, about SOME characters at a time."""
     held: list[str] = []
     n = 0
-    for t in b.column("text").to_pylist():
+    for t in (t for part in sliced(b.column("text")) for t in part.to_pylist()):
         held.append(t)
         n += len(t)
-        if n >= size:
+        if n >= SOME:
             yield held
             held, n = [], 0
     if held:
@@ -241,7 +241,7 @@ def encode_pieces(docs: DataFrame, model: str) -> DataFrame:
                 yield pa.record_batch([b.column("doc_id").slice(at, len(some)), pa.array(sizes), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(ok, pa.bool_())], ["doc_id", "n_pieces", "ids", "round_trip"])
                 at += len(some)
 
-    return texts(docs).mapInArrow(encode, "doc_id long, n_pieces long, ids array<int>, round_trip boolean")
+    return texts(docs).mapInArrow(lean(encode), "doc_id long, n_pieces long, ids array<int>, round_trip boolean")
 
 
 def decode_pieces(rows: DataFrame, model: str) -> DataFrame:
@@ -254,4 +254,4 @@ def decode_pieces(rows: DataFrame, model: str) -> DataFrame:
         for b in batches:
             yield pa.record_batch([b.column("doc_id"), pa.array([own.decode(i or []) for i in b.column("ids").to_pylist()], pa.string())], ["doc_id", "text"])
 
-    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids")).mapInArrow(decode, "doc_id long, text string")
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids")).mapInArrow(lean(decode), "doc_id long, text string")

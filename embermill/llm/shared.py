@@ -6,11 +6,12 @@ space, so that word borders, hashes and windows are array operations on that buf
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
-from functools import cache
+from collections.abc import Callable, Iterable, Iterator
+from functools import cache, wraps
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that are hashed at a time; a longer document makes a longer chunk.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
+#: The same where results hang on where chunks end, or chunks are kept together.
+LARGE = 1 << 20
+#: Rows of a batch that become Python objects at a time.
+SLICE = 512
 #: Bytes from which a span is told by a digest.
 LONG = 512
 #: Stands for a null document id inside numpy code: the largest, so a null id is never the smaller one.
@@ -202,12 +207,47 @@ class Words:
         return mix((sums[at + size] - sums[at]) * down[at]), at
 
 
+def sliced(b: pa.RecordBatch | pa.ChunkedArray | pa.Array) -> Iterator:
+    for at in range(0, len(b), SLICE):
+        yield b.slice(at, SLICE)
+
+
+def _objects(column: pa.ChunkedArray | pa.Array) -> Iterator:
+    for part in sliced(column):
+        yield from part.to_pylist()
+
+
+@cache
+def _libc() -> ctypes.CDLL | None:
+    try:
+        found = ctypes.CDLL(None)
+        return found if hasattr(found, "malloc_trim") else None
+    except OSError:
+        return None
+
+
+def lean(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """The work of a task, after which the worker gives free memory back to the system: it waits for other stages' tasks, beside
+    an executor that needs the memory, and would keep the most it ever had."""
+
+    @wraps(work)
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if _libc():
+                _libc().malloc_trim(0)
+
+    return run
+
+
 def chunked(ids: pa.ChunkedArray | pa.Array, text: pa.ChunkedArray | pa.Array, size: int = CHUNK) -> Iterator[tuple[np.ndarray, Words]]:
     """Document ids and words, some texts of about `size` bytes at a time."""
     parts: list[bytes] = []
     at: list[int] = []
     held = 0
-    for i, t in zip(ids.to_pylist(), text.cast(pa.binary()).to_pylist(), strict=True):
+    for i, t in zip(_objects(ids), _objects(text.cast(pa.binary())), strict=True):
         if parts and held + len(t) > size:
             yield np.array(at, np.int64), Words(parts)
             parts, at, held = [], [], 0

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import NO_ID, Words, chunked, deal, planes, ranges, text_bytes, texts, unplanes
+from .shared import LARGE, NO_ID, Words, chunked, deal, planes, ranges, text_bytes, texts, unplanes
 
 #: Bytes of text in a group of documents, and windows in a hash range, on average, for inputs up to ROOT bytes; beyond, both
 #: grow with the root of the input, so that the number of packets grows in proportion to it.
@@ -44,7 +44,7 @@ def _smallest(h: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _pack(size: int, parts: int):
     def pack(t: pa.Table) -> pa.Table:
         group = t.column("group")[0].as_py()
-        found = [_smallest(*_windows(ids, words, size)[:2]) for ids, words in chunked(t.column("doc_id"), t.column("text"))]
+        found = [_smallest(*_windows(ids, words, size)[:2]) for ids, words in chunked(t.column("doc_id"), t.column("text"), LARGE)]
         h, ids = _smallest(*(np.concatenate(x) for x in zip(*found, strict=True)))
         rows = [(p, group, planes(h[a:b]), _ids_out(ids[a:b])) for p, a, b in ranges(h, parts)]
         cols = list(zip(*rows, strict=True)) or [[], [], [], []]
@@ -86,7 +86,7 @@ def _tell(t: pa.Table) -> pa.Table:
 
 def _remove(size: int, full: bool):
     def remove(docs: pa.Table, told: pa.Table) -> pa.Table:
-        chunks = [(ids, words, *_windows(ids, words, size)) for ids, words in chunked(docs.column("doc_id"), docs.column("text"))] if docs.num_rows else []
+        chunks = [(ids, words, *_windows(ids, words, size)) for ids, words in chunked(docs.column("doc_id"), docs.column("text"), LARGE)] if docs.num_rows else []
         late = _late(np.concatenate([c[2] for c in chunks]), np.concatenate([c[3] for c in chunks]), told) if chunks else None
         cols: list[list] = [[], [], [], [], [], []]
         done = 0
