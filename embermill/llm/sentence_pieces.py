@@ -1,8 +1,8 @@
 """SentencePiece encoding and decoding with a given byte-pair model, as a batched Viterbi search in numpy.
 
-Text is cut where no piece can reach across (before runs of the space mark, around line breaks).  Distinct segments of equal
-length advance together, one character a step.  At each end position the hash of every substring a piece could fill is
-looked up among the sorted piece keys; a candidate survives if it can follow the token that ends where it begins, and a
+Text is cut where no piece can reach across (before runs of the space mark, around line breaks).  Distinct segments advance
+together, one character a step.  The hash of every substring that a piece could fill is looked up in a table of pieces and
+their beginnings; at each end position a candidate survives if it can follow the token that ends where it begins, and a
 vectorised maximum over the survivors' lengths stores the backpointer.
 
 A byte-pair model's segmentation is not the one of highest summed score, but the one its merges produce.  A sequence is that
@@ -13,7 +13,7 @@ is the only candidate that can follow the prefix before it: the search is exact,
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import cache
 
@@ -26,11 +26,12 @@ from .shared import lean, sliced, texts
 
 MARK = "▁"
 _UNKNOWN = "\N{REPLACEMENT CHARACTER}".encode()
-#: Segments and pairs of pieces that a worker remembers; characters encoded at a time; fewer equal-length segments than FEW, or longer ones than LONG
-#: characters, are searched one by one.
-REMEMBERED, PAIRS, SOME, FEW, LONG = 1 << 17, 1 << 19, 1 << 21, 8, 64
+#: Segments that a worker remembers, besides those of the texts at hand; slots for pairs of pieces; pairs remembered for segments searched one by
+#: one, which those of more than LONG characters are; characters encoded, and segments searched, at a time.
+REMEMBERED, SLOTS, PAIRS, LONG, SOME, TOGETHER = 1 << 17, 1 << 20, 1 << 17, 64, 1 << 21, 1 << 13
 _SEGMENT = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
 _BASE = 0x9E3779B97F4A7C15
+_SPREAD = 0x9FB21C651E98DF25
 _NEVER = float("inf")
 _FREE = (1 << 16) - 1  # a character that is no piece: written as its bytes, goes with every neighbour
 
@@ -51,12 +52,18 @@ class Pieces:
         self.paths: dict[str, tuple | None] = {}
         self.segments: dict[str, bytes] = {}
         self.pairs: dict[int, bool] = {}
-        by_length: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for i in usual:
-            if self.path(self.pieces[i]):
-                by_length[len(self.pieces[i])].append((self.key(self.pieces[i]), i))
-        self.longest = max(by_length)
-        self.keys = {n: (np.array([k for k, _ in sorted(x)], np.uint64), np.array([i for _, i in sorted(x)], np.int64)) for n, x in by_length.items()}
+        self.slots = np.full(SLOTS, -1, np.int64)  # twice a pair's key, and one more if its pieces go together
+        self.bytes = pa.array(self.raw, pa.large_binary())
+        whole = {self.key(self.pieces[i]): i for i in usual if self.path(self.pieces[i])}
+        self.longest = max(len(self.pieces[i]) for i in whole.values())
+        begun = {self.key(self.pieces[i][:n]): -1 for i in whole.values() for n in range(1, len(self.pieces[i]))} | whole
+        bits = (4 * len(begun)).bit_length()
+        self.shift, self.keys, self.ids = np.uint64(64 - bits), np.zeros(1 << bits, np.uint64), np.full(1 << bits, -2, np.int32)
+        for h, i in begun.items():
+            at = (h * _SPREAD & ((1 << 64) - 1)) >> (64 - bits)
+            while self.ids[at] != -2:
+                at = (at + 1) % (1 << bits)
+            self.keys[at], self.ids[at] = h, i
 
     @staticmethod
     def key(piece: str) -> int:
@@ -96,58 +103,92 @@ class Pieces:
             else:
                 j += 1
 
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The piece of each key; -1 if pieces only begin so, -2 if none does."""
+        at = (h * np.uint64(_SPREAD) >> self.shift).astype(np.int64)
+        ids = self.ids[at]
+        other = np.flatnonzero((ids != -2) & (self.keys[at] != h))
+        while len(other):
+            at[other] = (at[other] + 1) % len(self.ids)
+            ids[other] = self.ids[at[other]]
+            other = other[(ids[other] != -2) & (self.keys[at[other]] != h[other])]
+        return ids
+
     def compatible(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        keys, back = np.unique((left << 16) | right, return_inverse=True)
-        pairs, out = self.pairs, np.empty(len(keys), bool)
-        for n, k in enumerate(keys.tolist()):
-            ok = pairs.get(k)
-            if ok is None:
-                if len(pairs) >= PAIRS:
-                    pairs.clear()
-                ok = pairs[k] = self.follows(k >> 16, k & _FREE)
-            out[n] = ok
-        return out[back]
+        """`follows` of each pair.  A slot holds the last pair that fell into it."""
+        keys = (left << 16) | right
+        got = self.slots[self.slot(keys)]
+        if len(lost := np.flatnonzero(got >> 1 != keys)):
+            new, back = np.unique(keys[lost], return_inverse=True)
+            fresh = np.fromiter((k << 1 | self.follows(k >> 16, k & _FREE) for k in new.tolist()), np.int64, len(new))
+            self.slots[self.slot(new)] = fresh
+            got[lost] = fresh[back]
+        return (got & 1).astype(bool)
+
+    def slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(_SPREAD) >> np.uint64(32)) % np.uint64(len(self.slots))).astype(np.int64)
 
     def search(self, segments: list[str]) -> list[bytes]:
-        """Viterbi over segments of one length."""
-        length, n = len(segments[0]), len(segments)
-        codes = np.frombuffer("".join(segments).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, length).T.astype(np.uint64)
-        sums = np.zeros((length + 1, n), np.uint64)
-        base, scale = np.uint64(_BASE), [pow(_BASE, k, 1 << 64) for k in range(self.longest + 1)]
-        for i in range(length):
-            sums[i + 1] = sums[i] * base + codes[i] + np.uint64(1)
-        last = np.full((length + 1, n), _FREE, np.int64)
-        back = np.zeros((length + 1, n), np.int64)
-        for end in range(1, length + 1):
-            best, token = np.ones(n, np.int64), np.full(n, _FREE, np.int64)
-            open_ = np.arange(n)  # exactly one length fits, so a maximum found from the longest down is final
-            for k in range(min(end, self.longest), 0, -1):
-                if k not in self.keys or not len(open_):
-                    continue
-                keys, ids = self.keys[k]
-                h = sums[end, open_] - sums[end - k, open_] * np.uint64(scale[k])
-                at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-                fits = keys[at] == h
-                if k > 1 and end > k and len(some := np.flatnonzero(fits)):
-                    fits[some] = self.compatible(last[end - k, open_[some]], ids[at[some]])
-                rows = open_[fits]
-                best[rows], token[rows] = k, ids[at[fits]]
-                open_ = open_[~fits]
-            last[end], back[end] = token, best
-        out: list[list[int]] = [[] for _ in segments]
-        at, alive = np.full(n, length), np.arange(n)
-        while len(alive):
-            for r, t, e in zip(alive.tolist(), last[at[alive], alive].tolist(), at[alive].tolist(), strict=True):
-                out[r].append(t if t != _FREE else -e)
-            at[alive] -= back[at[alive], alive]
-            alive = alive[at[alive] > 0]
-        return [self.written(s, o) for s, o in zip(segments, out, strict=True)]
+        """Viterbi over segments, whose characters lie end to end in one array."""
+        n = len(segments)
+        sizes = np.fromiter(map(len, segments), np.int64, n)
+        stops = np.cumsum(sizes)
+        starts = stops - sizes
+        codes = np.frombuffer("".join(segments).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+        at, h = np.arange(len(codes)), np.zeros(len(codes), np.uint64)
+        step, room = at - np.repeat(starts, sizes), np.repeat(stops, sizes) - at
+        last, back = np.full(len(codes), _FREE, np.int64), np.ones(len(codes), np.int64)
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for k in range(1, self.longest + 1):
+            at, h = at[go := room[at] >= k], h[go]
+            h = h * np.uint64(_BASE) + codes[at + (k - 1)]
+            ids = self.find(h)
+            fits = ids >= 0
+            if k == 1:  # stands where nothing longer fits
+                last[at[fits]] = ids[fits]
+            else:
+                found.append((at[fits] + (k - 1), ids[fits].astype(np.int64), np.full(np.count_nonzero(fits), k)))
+            at, h = at[go := ids != -2], h[go]
+        end, ids, size = map(np.concatenate, zip(*found, strict=True))
+        first = step[end] + 1 == size  # a piece from the begin on has nothing to follow, and no other ends there
+        last[end[first]], back[end[first]] = ids[first], size[first]
+        taken = np.zeros(len(codes), bool)
+        taken[end[first]] = True
+        rest = np.flatnonzero(~taken[end])
+        rest = rest[np.argsort(step[end[rest]].astype(np.uint16), kind="stable")]
+        end, ids, size = end[rest], ids[rest], size[rest]
+        bounds = np.concatenate([[0], np.cumsum(np.bincount(step[end]))]).tolist()
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            e, i, k = end[a:b], ids[a:b], size[a:b]
+            ok = self.compatible(last[e - k], i)
+            e, i, k = e[ok], i[ok], k[ok]
+            np.maximum.at(back, e, k)
+            best = back[e] == k
+            last[e[best]] = i[best]
+        row, at, counts, trail = np.arange(n), stops - 1, np.zeros(n, np.int64), []
+        while len(row):
+            counts[row] += 1
+            trail.append((row, last[at]))
+            at = at - back[at]
+            row, at = row[go := at >= starts[row]], at[go]
+        ends, free = np.cumsum(counts), np.zeros(n, bool)
+        out = np.empty(ends[-1], np.int32)
+        for k, (row, token) in enumerate(trail, 1):
+            out[ends[row] - k] = token
+            free[row[token == _FREE]] = True
+        packed, ends = out.tobytes(), (4 * ends).tolist()
+        done = [packed[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        for r in np.flatnonzero(free).tolist():
+            done[r] = self.written(segments[r], np.frombuffer(done[r], np.int32).tolist())
+        return done
 
     def written(self, segment: str, tokens: list[int]) -> bytes:
-        """Tokens, last first, as identifiers; -e is the character before end e, to be written as bytes."""
+        """Tokens as identifiers; a character that is no piece is written as its bytes."""
         ids: list[int] = []
-        for t in reversed(tokens):
-            ids += [t] if t >= 0 else [self.byte[b] for b in segment[-t - 1].encode()]
+        at = 0
+        for t in tokens:
+            ids += [t] if t != _FREE else [self.byte[b] for b in segment[at].encode()]
+            at += len(self.pieces[t]) if t != _FREE else 1
         return np.array(ids, np.int32).tobytes()
 
     def search_one(self, segment: str) -> bytes:
@@ -171,34 +212,45 @@ class Pieces:
             back.append(best)
         tokens, at = [], len(segment)
         while at:
-            tokens.append(last[at] if last[at] != _FREE else -at)
+            tokens.append(last[at])
             at -= back[at]
-        return self.written(segment, tokens)
+        return self.written(segment, tokens[::-1])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Identifiers of each text as packed 32-bit numbers."""
         cut = [_SEGMENT.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        if len(self.segments) > REMEMBERED:
-            self.segments.clear()
-        known, new = self.segments, defaultdict(list)
-        for s in set().union(*cut).difference(known):
-            new[len(s)].append(s)
-        for length, some in new.items():
-            for at in range(0, len(some), 1 << 14):
-                part = some[at : at + (1 << 14)]
-                known.update(zip(part, self.search(part) if FEW <= len(part) and length <= LONG else map(self.search_one, part), strict=True))
+        distinct = set().union(*cut)
+        if len(self.segments) > REMEMBERED:  # the frequent ones are among those at hand
+            self.segments = {s: self.segments[s] for s in distinct if s in self.segments}
+        known = self.segments
+        new = sorted(distinct.difference(known), key=len)
+        border = bisect_right(new, LONG, key=len)
+        short, alone = new[:border], new[border:]
+        for at in range(0, len(short), TOGETHER):
+            part = short[at : at + TOGETHER]
+            known.update(zip(part, self.search(part), strict=True))
+        known.update((s, self.search_one(s)) for s in alone)
         out = [b"".join(map(known.__getitem__, c)) for c in cut]
-        for length, some in new.items():
-            if length > LONG:
-                for s in some:
-                    del known[s]
+        for s in alone:
+            del known[s]
         return out
 
     def decode(self, ids: list[int | None]) -> str:
         raw = self.raw
-        text = b"".join(raw[i] if i is not None and 0 <= i < len(raw) else _UNKNOWN for i in ids).decode("utf-8", "replace").replace(MARK, " ")
+        return self.read(b"".join(raw[i] if i is not None and 0 <= i < len(raw) else _UNKNOWN for i in ids))
+
+    @staticmethod
+    def read(raw: bytes) -> str:
+        text = raw.decode("utf-8", "replace").replace(MARK, " ")
         return text[1:] if text[:1] == " " else text
 
+    def decode_all(self, ids: np.ndarray, offsets: np.ndarray) -> Iterator[str]:
+        """`decode` of many texts' own identifiers, laid end to end."""
+        laid = self.bytes.take(pa.array(ids))
+        at = np.frombuffer(laid.buffers()[1], np.int64)[offsets].tolist() if len(ids) else [0] * len(offsets)
+        data = laid.buffers()[2]
+        yield from (self.read(data[a:b].to_pybytes() if a < b else b"") for a, b in zip(at[:-1], at[1:], strict=True))
+
 
 @cache
 def pieces(path: str) -> Pieces:
@@ -237,7 +289,7 @@ def encode_pieces(docs: DataFrame, model: str) -> DataFrame:
                 sizes = np.array([len(x) for x in ids], np.int64)
                 offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                 flat = np.concatenate(ids) if ids else np.empty(0, np.int32)
-                ok = [own.decode(x.tolist()) == t for x, t in zip(ids, some, strict=True)]
+                ok = [d == t for d, t in zip(own.decode_all(flat, offsets), some, strict=True)]
                 yield pa.record_batch([b.column("doc_id").slice(at, len(some)), pa.array(sizes), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(ok, pa.bool_())], ["doc_id", "n_pieces", "ids", "round_trip"])
                 at += len(some)
 

@@ -1,10 +1,15 @@
 import collections
 import hashlib
 import math
+import random
 import re
+import sys
+import types
 import zlib
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -56,6 +61,56 @@ def test_pieces_equal_the_library_and_decode(docs):
     assert sorted(map(tuple, sentence_pieces.decode_pieces(out, path).collect()), key=key) == sorted(((i, t or "") for i, t, *_ in ROWS), key=key)
 
 
+def test_pieces_of_odd_texts_equal_the_library(monkeypatch):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    lib = sentencepiece.SentencePieceProcessor(model_file=path)
+    for name, few in {"REMEMBERED": 40, "SLOTS": 7, "PAIRS": 5, "TOGETHER": 3, "LONG": 9}.items():
+        monkeypatch.setattr(sentence_pieces, name, few, raising=False)
+    own, r = sentence_pieces.Pieces(path), random.Random(1)
+    kinds = ["abcdehilnorst", "the ing tion er and on re", "ab \n\t\r\u2581", "0123456789.,:-", "\u00e9\u00c9\u00df\u0301\u0394\u0416", "\u4e2d\u6587\u5b57\u65e5\u672c", "\U0001f600\U0001f468\u200d\ufffd\x00\x7f"]
+    for _ in range(60):
+        batch = ["".join(r.choice(r.choice(kinds[: r.randrange(1, 8)])) for _ in range(r.choice([0, 1, 5, 40, 300]))).replace("d", r.choice(["d", " "])) for _ in range(20)]
+        got = [np.frombuffer(x, np.int32).tolist() for x in own.encode(batch)]
+        assert got == lib.encode(batch)
+        flat, offsets = np.array([i for x in got for i in x], np.int32), np.cumsum([0, *map(len, got)])
+        assert list(own.decode_all(flat, offsets)) == [own.decode(x) for x in got] == [t.replace("\u2581", " ") for t in batch]
+
+
+def test_pieces_take_no_python_call_each(monkeypatch):
+    monkeypatch.setattr(sentence_pieces, "texts", lambda docs: docs)
+    path, r, calls, kinds = public_tokenizers.path("piece_bpe_32k.model"), random.Random(2), 0, ["th", "er", "on", "an", "re", "xq", "zu", "kle", "vy", "mo"]
+    text = [" ".join("".join(r.choices(kinds, k=6)) for _ in range(500)) for _ in range(40)]
+    sentence_pieces.pieces(path).encode(text[:1])
+    work = sentence_pieces.encode_pieces(types.SimpleNamespace(mapInArrow=lambda f, schema: f), path)
+    batch = pa.record_batch([pa.array(range(40), pa.int64()), pa.array(text)], ["doc_id", "text"])
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        out = list(work(iter([batch])))
+    finally:
+        sys.setprofile(None)
+    pieces = sum(sum(b.column("n_pieces").to_pylist()) for b in out)
+    assert pieces > 60_000 and all(all(b.column("round_trip").to_pylist()) for b in out)
+    assert calls < pieces / 2
+
+
+def test_frequent_segments_are_searched_once(monkeypatch):
+    monkeypatch.setattr(sentence_pieces, "REMEMBERED", 50)
+    own, searched = sentence_pieces.Pieces(public_tokenizers.path("piece_bpe_32k.model")), collections.Counter()
+    search, search_one = own.search, own.search_one
+    monkeypatch.setattr(own, "search", lambda some: searched.update(some) or search(some))
+    monkeypatch.setattr(own, "search_one", lambda one: searched.update([one]) or search_one(one))
+    for k in range(5):
+        own.encode(["often seen " + " ".join(f"w{k}x{i}" for i in range(60))])
+        assert len(own.segments) <= 50 + 62
+    assert searched["\u2581often"] == searched["\u2581seen"] == 1
+    assert len(searched) == 302
+
+
 def test_repeats_equal_brute_force(docs):
     big = 1 << 62
     first: dict = {}
